@@ -210,15 +210,24 @@ def link_names(names: DataFrame) -> DataFrame:
     common = votes.where("families >= 4 and giv > fam").select(F.col("tok").alias("given"), F.lit(True).alias("common"))
     sigs = rooted.groupBy("root", "initial", "family", "given", "dotted", "mids").agg(F.sum("n").alias("n")).join(common, "given", "left")
 
-    def resolve(x: pd.DataFrame) -> pd.DataFrame:
-        if x["initial"].iloc[0] == "#" or not x["initial"].iloc[0]:
-            return x.assign(author=0)[["root", "initial", "family", "given", "dotted", "mids", "author"]]
-        rows = list(zip(x["root"], x["family"], x["given"], x["dotted"], x["mids"], x["n"]))
-        known = frozenset(NICKNAMES.get(g, g) for g, c in zip(x["given"], x["common"]) if c is True or c == True)  # noqa: E712
-        number = clusters(rows, known)
-        return x.assign(author=[number[f, g, d, m] for _, f, g, d, m, _ in rows])[["root", "initial", "family", "given", "dotted", "mids", "author"]]
-
-    solved = sigs.groupBy("root", "initial").applyInPandas(resolve, "root string, initial string, family string, given string, dotted boolean, mids string, author int")
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for root, initial, group in zip(b["root"], b["initial"], b["g"]):
+                rows = [(root, x["family"], x["given"], bool(x["dotted"]), x["mids"], x["n"]) for x in group]
+                if initial == "#" or not initial:
+                    number = {r[1:5]: 0 for r in rows}
+                elif len(rows) == 1:
+                    number = {rows[0][1:5]: 0}
+                else:
+                    number = clusters(rows, frozenset(NICKNAMES.get(x["given"], x["given"]) for x in group if x["common"]))
+                out += [(root, initial, *r[1:5], number[r[1:5]]) for r in rows]
+            yield pd.DataFrame(out, columns=["root", "initial", "family", "given", "dotted", "mids", "author"])
+
+    # a fixed number of tasks: the rows are few bytes but much work, which AQE would put into one task
+    tasks = max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), names.sparkSession.sparkContext.defaultParallelism)
+    groups = sigs.repartition(tasks, "root", "initial").groupBy("root", "initial").agg(F.collect_list(F.struct("family", "given", "dotted", "mids", "n", "common")).alias("g"))
+    solved = groups.mapInPandas(resolve, "root string, initial string, family string, given string, dotted boolean, mids string, author int")
     return rooted.join(solved, ["root", "initial", "family", "given", "dotted", "mids"]).select("name", F.col("root").alias("family"), "initial", "author")
 
 
