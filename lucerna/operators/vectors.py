@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lucerna.runtime import small
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
@@ -28,11 +30,9 @@ def nearest(df: DataFrame, id_col: str, vec: str, query: DataFrame, query_id: st
     once, and only ``k`` rows a query leave each task.
     """
     q = query.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv"))
-    if q.limit(10_001).count() > 10_000:
-        raise ValueError("take the queries in blocks of 10 000")
     from lucerna.operators.retrieval import top_per_group
 
-    d = df.select(F.col(id_col), F.col(vec).alias("v")).join(F.broadcast(q), F.size("v") == F.size("qv")).select("query_id", id_col, cosine_distance(F.col("v"), F.col("qv")).alias("distance"))
+    d = df.select(F.col(id_col), F.col(vec).alias("v")).join(small(q), F.size("v") == F.size("qv")).select("query_id", id_col, cosine_distance(F.col("v"), F.col("qv")).alias("distance"))
     return top_per_group(d.where("distance is not null"), ["query_id"], [F.col("distance"), F.col(id_col)], k)
 
 

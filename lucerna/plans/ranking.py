@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lucerna.functions.chunk import chunk_texts, fixed_chunks
 from lucerna.operators import bm25, retrieval, vectors
 from lucerna.plans.base import query, table
+from lucerna.runtime import small
 
 
 def bm25_sql(tbl: str, key: str, text: str, terms: list[str], all_: bool, k: int | None) -> str:
@@ -120,7 +121,7 @@ SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_numb
 def _(s, d):
     e = table(s, d, "embeddings")
     m = vectors.mean_vector(e, "label", "embedding")
-    x = e.join(F.broadcast(m.select(F.col("label").alias("query_id"), "mean")), F.col("label") != F.col("query_id")).select("query_id", "vec_id", vectors.cosine_distance(F.col("embedding"), F.col("mean")).alias("distance"))
+    x = e.join(small(m.select(F.col("label").alias("query_id"), "mean")), F.col("label") != F.col("query_id")).select("query_id", "vec_id", vectors.cosine_distance(F.col("embedding"), F.col("mean")).alias("distance"))
     return retrieval.top_per_group(x, ["query_id"], [F.col("distance"), F.col("vec_id")], 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -19,6 +20,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast after a check that it has at most ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: take them in blocks")
+    return F.broadcast(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it without lineage."""
     ensure_checkpoint_dir(df.sparkSession)
