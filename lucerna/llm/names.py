@@ -1,8 +1,10 @@
 """Problem 6: spellings of one author or collaboration linked.
 
 Method: a prefix-filtered set-similarity join on the q-grams of family names proposes misspelt family
-names; a soft token similarity, in which rare tokens weigh more, verifies them. Within one family name
-and initial, given names, initials and nicknames are reconciled.
+names; a soft token similarity, in which rare tokens weigh more, verifies them. Collaborations meet on the
+heavy tokens of their names and are verified alike, so a rare word outweighs what many of them share and
+abbreviations count as soft matches. Within one family name and initial, given names, initials and
+nicknames are reconciled.
 """
 
 from __future__ import annotations
@@ -72,7 +74,27 @@ def _is_generic(w: str, known: tuple[str, ...]) -> bool:
     return w in known or len(w) > 8 and any(len(k) > 8 and _near(w, k, 1) for k in known)
 
 
-def soft_similarity(a: list[str], b: list[str], weight: dict[str, float]) -> float:
+#: Credit of a word for its abbreviation, letters that such has at least, and the share of its readings one must hold to be meant.
+SHORTENED, STEM, MEANT = 0.8, 4, 0.8
+#: Weight at most of a generic word or its abbreviation, and at least of any word.
+LIGHT = 0.3
+#: Similarity that verifies a misspelt family name and a collaboration.
+SAME, SAME_GROUP = 0.8, 0.6
+#: A family name of so many spellings, and not so many times rarer than the other, is a name of its own, not a slip.
+OWN, RARER = 4, 5
+
+
+def likeness(x: str, y: str) -> float:
+    """How alike two words are: equal or an initial 1, an abbreviation ``SHORTENED``, one slip less the shorter the words."""
+    if x == y or (len(x) == 1 or len(y) == 1) and x[0] == y[0]:
+        return 1.0
+    short, long = sorted((x, y), key=len)
+    if len(short) >= STEM and long.startswith(short):
+        return max(SHORTENED, 1 - 1 / len(long) if len(long) - len(short) == 1 else 0.0)
+    return 1 - 1 / len(long) if _near(x, y, 1) else 0.0
+
+
+def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], like=likeness) -> float:
     """Weighted share of the tokens that have a like token on the other side; an initial is like its name."""
     if not a or not b:
         return 0.0
@@ -81,10 +103,67 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float]) -> flo
         for x in xs:
             w = weight.get(x, 1.0)
             total += w
-            got += w * max(1.0 if x == y or (len(x) == 1 or len(y) == 1) and x[0] == y[0] else (1 - 1 / max(len(x), len(y)) if _near(x, y, 1) else 0.0) for y in ys)
+            got += w * max(like(x, y) for y in ys)
     return got / total
 
 
+def token_weight(token: str, spellings: int, total: int) -> float:
+    """Log of how rare a token is among ``total`` names; generic words and their abbreviations stay light."""
+    w = max(LIGHT, math.log((1 + total) / spellings))
+    return min(LIGHT, w) if _is_generic(token, GENERIC) or len(token) >= STEM and any(g.startswith(token) for g in GENERIC) else w
+
+
+def _grams(df: DataFrame, col: str) -> DataFrame:
+    """``col, gram``: the rarest q-grams of each word, enough that two words one slip apart share one."""
+    grams = df.select(col).distinct().select(col, F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length({col}) + 2), i -> substring(concat('^^', {col}, '$$'), i, {Q}))"))).alias("gram"))
+    return grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("r", F.row_number().over(Window.partitionBy(col).orderBy("df", "gram"))).where(f"r <= {Q + 2}").select(col, "gram")
+
+
+def group_pairs(fams: DataFrame) -> DataFrame:
+    """``initial, base, slip, n`` of the collaborations in ``fams`` (``family, initial, n``) that are one, ``base`` the more frequent.
+
+    A pair of similarity ``SAME_GROUP`` has matched that share of the weight on one side at least, so it meets
+    on one of that side's heavy tokens (prefix filter); like tokens are found among the distinct tokens first.
+    """
+    from lucerna.runtime import cut
+
+    groups = fams.where("initial = '#'").select("family", "n")
+    words = groups.select("family", F.explode(F.array_distinct(F.split("family", " "))).alias("t")).where("t <> ''")
+    weigh = F.udf(token_weight, "double")
+    vocab = cut(words.groupBy("t").agg(F.count("*").alias("df")).crossJoin(groups.agg(F.count("*").alias("total"))).select("t", "df", weigh("t", "df", "total").alias("w")))
+    x, y = vocab.where("length(t) >= 5").select("t"), vocab.select("t", "df")
+    gram = cut(_grams(x, "t"))
+    slips = gram.toDF("t", "gram").join(gram.toDF("u", "gram"), "gram").where("t <> u and abs(length(t) - length(u)) <= 1").where(F.levenshtein("t", "u") <= 2).select("t", "u").distinct()
+    stem = lambda c: F.substring(c, 1, STEM)
+    longer = y.select(F.col("t").alias("u"), F.col("df").alias("uf"), stem("t").alias("s")).join(y.where(f"length(t) >= {STEM}").select("t", stem("t").alias("s")), "s").where("length(u) > length(t) and startswith(u, t)")
+    # an abbreviation of several words means the one that nearly always stands there, else none
+    meant = longer.withColumn("all", F.sum("uf").over(Window.partitionBy("t"))).where(f"uf >= {MEANT} * all").select("t", "u")
+    like = cut(slips.union(meant).union(meant.select("u", "t")).union(y.select("t", F.col("t").alias("u"))).distinct())
+    heavy = words.join(vocab, "t")
+    order = Window.partitionBy("family").orderBy("w", F.desc("t"))
+    heavy = heavy.withColumn("below", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("whole", F.sum("w").over(Window.partitionBy("family")))
+    prefix = heavy.where(f"below >= {SAME_GROUP} * whole - 1e-9").select("family", "t")
+    met = prefix.join(like, "t").select(F.col("family").alias("x"), F.col("u").alias("t")).join(words, "t").where("x <> family").select(F.least("x", "family").alias("x"), F.greatest("x", "family").alias("y")).distinct()
+    named = groups.join(heavy.groupBy("family").agg(F.collect_list(F.struct("t", "w")).alias("ws")), "family")
+    kin = words.join(like.where("t <> u"), "t").groupBy("family").agg(F.collect_set(F.concat_ws(" ", "t", "u")).alias("kin"))
+    named = cut(named.join(kin, "family", "left"))
+    both = met.join(named.toDF("x", "xn", "xw", "xk"), "x").join(named.toDF("y", "yn", "yw", "yk"), "y")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for x, y, xn, yn, xw, yw, xk in zip(b["x"], b["y"], b["xn"], b["yn"], b["xw"], b["yw"], b["xk"]):
+                known = set(xk) if xk is not None else set()
+                alike = lambda p, q: likeness(p, q) if p == q or f"{p} {q}" in known or f"{q} {p}" in known else 0.0  # noqa: B023, E731
+                weight = {r["t"]: r["w"] for r in [*xw, *yw]}
+                if soft_similarity([r["t"] for r in xw], [r["t"] for r in yw], weight, alike) >= SAME_GROUP:
+                    base, slip, n = (x, y, xn) if (-xn, x) < (-yn, y) else (y, x, yn)
+                    out.append(("#", base, slip, n))
+            yield pd.DataFrame(out, columns=["initial", "base", "slip", "n"])
+
+    return both.mapInPandas(verify, "initial string, base string, slip string, n long")
+
+
 def clusters(rows: list[tuple[str, str, str, bool, str, int]], known_given: frozenset[str]) -> dict[tuple[str, str, bool, str], int]:
     """Author number of every ``(family, given, dotted, mids)`` of one family name and initial.
 
@@ -157,6 +236,7 @@ def link_names(names: DataFrame) -> DataFrame:
     family name that a third of all rows carry is a handful of signatures per initial. Family names that
     differ by one slip meet on the rarest q-grams of the shorter list (prefix filter for one changed, added,
     lost or swapped letter: five grams) together with the initial; no list of all names is broadcast.
+    Tokens are weighted by their counts over all names; collaborations are linked by ``group_pairs``.
     """
     from lucerna.functions.text import fold
     from lucerna.runtime import cut
@@ -184,28 +264,34 @@ def link_names(names: DataFrame) -> DataFrame:
 
     # family names one slip apart, by the prefix filter on their rarest q-grams
     fams = people.groupBy("family", "initial").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"), F.collect_set(F.when(F.length("mids") > 0, F.substring("mids", 1, 1))).alias("m1"))
-    long = fams.where("length(family) >= 5")
-    grams = long.select("family").distinct().select("family", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(family) + 2), i -> substring(concat('^^', family, '$$'), i, {Q}))"))).alias("gram"))
-    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy("df", "gram"))).where(f"r <= {Q + 2}")
-    keyed = long.join(ranked.select("family", "gram"), "family")
+    fams = cut(fams)
+    people_fams = fams.where("initial <> '#'")
+    # a token's weight: how few of the distinct family names with an initial carry it
+    tokens = people_fams.select("family", "initial", "spellings", F.explode(F.array_distinct(F.split("family", " "))).alias("t"))
+    counted = tokens.groupBy("t").agg(F.sum("spellings").alias("df")).crossJoin(people_fams.agg(F.sum("spellings").alias("total")))
+    weighted = tokens.join(counted, "t").groupBy("family", "initial").agg(F.collect_list(F.struct("t", F.log((1 + F.col("total")) / F.col("df")).alias("w"))).alias("ws"))
+    long = people_fams.where("length(family) >= 5").join(weighted, ["family", "initial"])
+    keyed = long.join(_grams(long, "family"), "family")
     a, b = keyed.alias("a"), keyed.alias("b")
     near = a.join(b, ["gram", "initial"]).where("a.family <> b.family and abs(length(a.family) - length(b.family)) <= 1 and (a.n > b.n or a.n = b.n and a.family < b.family)").where(F.levenshtein(F.col("a.family"), F.col("b.family")) <= 2)
-    near = near.select("initial", F.col("a.family").alias("base"), F.col("b.family").alias("slip"), F.col("a.n").alias("n"), F.col("a.m1").alias("m1"), F.col("b.m1").alias("m2")).distinct()
+    near = near.select("initial", F.col("a.family").alias("base"), F.col("b.family").alias("slip"), F.col("a.n").alias("n"), F.col("a.m1").alias("m1"), F.col("b.m1").alias("m2"), F.col("a.spellings").alias("s1"), F.col("b.spellings").alias("s2"), F.col("a.ws").alias("w1"), F.col("b.ws").alias("w2")).dropDuplicates(["initial", "base", "slip"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             keep = []
-            for i, base, slip, n, m1, m2 in zip(x["initial"], x["base"], x["slip"], x["n"], x["m1"], x["m2"]):
+            for i, base, slip, m1, m2, s1, s2, w1, w2 in zip(x["initial"], x["base"], x["slip"], x["m1"], x["m2"], x["s1"], x["s2"], x["w1"], x["w2"]):
                 agree = not len(m1) or not len(m2) or bool(set(m1) & set(m2))
-                rare = {base: math.log(1e6 / (1 + n)), slip: math.log(1e6), i: 1.0}
-                keep.append(agree and all(_near(p, q, 1) for p, q in zip(base.split(), slip.split())) and len(base.split()) == len(slip.split()) and soft_similarity([*base.split(), i], [*slip.split(), i], rare) >= 0.8)
+                rare = {r["t"]: r["w"] for r in [*w1, *w2]} | {i: 1.0}
+                own = s2 >= OWN and s2 * RARER > s1
+                keep.append(not own and agree and all(_near(p, q, 1) for p, q in zip(base.split(), slip.split())) and len(base.split()) == len(slip.split()) and soft_similarity([*base.split(), i], [*slip.split(), i], rare) >= SAME)
             yield x[keep][["initial", "base", "slip", "n"]]
 
-    found = near.mapInPandas(verify, "initial string, base string, slip string, n long")
+    found = near.mapInPandas(verify, "initial string, base string, slip string, n long").unionByName(group_pairs(fams))
+    found = cut(found)  # read twice below: the plan stays small on the driver
     best = found.groupBy("initial", "slip").agg(F.max_by("base", F.struct("n", "base")).alias("base"))
     tops = best.select("initial", F.col("slip").alias("base"), F.col("base").alias("top"))
     best = best.join(tops, ["initial", "base"], "left").select("initial", F.col("slip").alias("family"), F.coalesce("top", "base").alias("base"))
-    rooted = people.join(best, ["initial", "family"], "left").withColumn("root", F.coalesce("base", "family")).drop("base")
+    rooted = cut(people.join(best, ["initial", "family"], "left").withColumn("root", F.coalesce("base", "family")).drop("base"))
 
     common = votes.where("families >= 4 and giv > fam").select(F.col("tok").alias("given"), F.lit(True).alias("common"))
     sigs = rooted.groupBy("root", "initial", "family", "given", "dotted", "mids").agg(F.sum("n").alias("n")).join(common, "given", "left")

@@ -115,6 +115,14 @@ def test_name_variants(spark):
     assert got == want
 
 
+def test_collaborations_are_verified_by_token_weights(spark):
+    one = ["Fokutore Surv. Coll.", "Fokutore Survey Collaboration", "The Fokutore Collaboration"]
+    other = ["Zavejubri Survey Collaboration", "Fokutore Tremaviku Survey Collaboration", "Nuvadotil Surv. Coll.", "Nuvadotil Gebrusto Collab.", "Sijamado Surv. Coll."]
+    df = spark.createDataFrame([(n, 2) for n in one + other], "name string, n long")
+    got = {tuple(r) for r in names.variant_pairs(names.link_names(df)).collect()}
+    assert got == {(a, b) for a in one for b in one if a < b}
+
+
 # 7 packing
 def test_packing_is_whole_and_full(spark):
     rng = random.Random(5)
