@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 32
@@ -57,3 +57,11 @@ def corpus_counts(df: DataFrame, cols: list[str], widths: list[int], feed: Calla
 def whole_texts(df: DataFrame, col: str) -> DataFrame:
     """The non-empty texts of a column."""
     return df.select(F.col(col).alias("text")).where(F.length("text") > 0)
+
+
+def distinct_texts(df: DataFrame, col: str, key: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """``text, n``: one representative of the non-empty texts of equal ``key`` and their number, so that copies count once.
+
+    Copies collapse within each task before the shuffle (partial aggregation), so no task holds a hub.
+    """
+    return whole_texts(df, col).groupBy(F.md5(key(F.col("text"))).alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("n")).select("text", "n")

@@ -1,7 +1,7 @@
 """Problem 9: template residue, filler and error pages in place of content.
 
 Method: character n-gram models. One model per kind of residue (placeholders, filler, notices) is fitted
-to seed texts, and a model of natural prose to the whole corpus. Their likelihood ratio is taken over
+to seed texts, and a model of natural prose to the distinct texts of the corpus. Their likelihood ratio is taken over
 sliding windows; a segment is residue when such windows cover enough of it.
 """
 
@@ -12,10 +12,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.hashed import corpus_counts, whole_texts
+from lucerna.llm.hashed import corpus_counts, distinct_texts
 
 N, WIDTH = 5, 1 << 20
 WINDOW, STEEP, COVER = 12, 1.0, 0.6
@@ -265,26 +265,44 @@ def slots(text: str) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64) & (WIDTH - 1)
 
 
-def fit_prose(df: DataFrame, text_col: str) -> np.ndarray:
-    """n-gram counts of the whole corpus."""
+def _same(text: Column) -> Column:
+    """``simplify`` as an expression, blanks and line ends as one: texts that differ in numbers only are copies."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NUMBER.pattern, "0"), r"(?U)\s+", " "))
+
+
+def fit_prose(df: DataFrame, text_col: str) -> list[np.ndarray]:
+    """n-gram counts of the distinct texts (copies, numbers aside, have one vote) and of all rows."""
 
     def feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
         held, size = [], 0
-        for (text,) in rows:
+
+        def flush(texts: list[str], n: int) -> None:
+            got = np.bincount(slots("\n".join(texts)), minlength=WIDTH).astype(np.uint32)
+            tables[0] += got
+            tables[1] += got * np.uint32(n)
+
+        for text, n in rows:
+            if n > 1:
+                flush([simplify(text)], n)
+                continue
             held.append(simplify(text))
             size += len(text)
             if size > 4_000_000:
-                tables[0] += np.bincount(slots("\n".join(held)), minlength=WIDTH).astype(np.uint32)
+                flush(held, 1)
                 held, size = [], 0
         if held:
-            tables[0] += np.bincount(slots("\n".join(held)), minlength=WIDTH).astype(np.uint32)
+            flush(held, 1)
+
+    return corpus_counts(distinct_texts(df, text_col, _same), ["text", "n"], [WIDTH, WIDTH], feed)
 
-    return corpus_counts(whole_texts(df, text_col), ["text"], [WIDTH], feed)[0]
 
+def ratios(prose: list[np.ndarray]) -> np.ndarray:
+    """Log-likelihood ratio of each kind of residue to prose, per slot; ``(kinds, WIDTH)`` float32.
 
-def ratios(prose: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each kind of residue to prose, per slot; ``(kinds, WIDTH)`` float32."""
-    base = np.log(prose / max(1.0, float(prose.sum())) + EPSILON * np.exp(0.5))
+    Prose is what both many texts and many rows hold: the copies of a page cannot make it prose, nor can
+    a page be prose where few texts, copied often, leave it a large share of the texts.
+    """
+    base = np.log(np.minimum.reduce([c / max(1.0, float(c.sum(dtype=np.float64))) for c in prose]) + EPSILON * np.exp(0.5))
     out = []
     for texts in seeds().values():
         c = np.zeros(WIDTH)
@@ -358,8 +376,9 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row is reported when residue segments (whole lines or sentences that likelihood-ratio windows cover
     by ``COVER``) have at least ``min_chars`` characters; each row of repeated texts is reported. Null and
-    empty texts are not. Texts are read whole, whatever their length. The corpus model is counted over all
-    rows in a table of fixed size and broadcast (12 MB); scoring is a narrow map.
+    empty texts are not. Texts are read whole, whatever their length. The corpus model is counted over
+    the distinct texts and over all rows in tables of fixed size and broadcast (12 MB); the smaller share
+    counts, so a page stored many times is not prose. Scoring is a narrow map over all rows.
     """
     exact = frozenset(simplify(t) for texts in seeds().values() for t in texts)
     table = df.sparkSession.sparkContext.broadcast(ratios(fit_prose(df, text_col)))

@@ -179,3 +179,12 @@ def test_residue(spark):
     rows = [(i, prose) for i in range(200)] + [(900, "Title: {{title}}"), (901, prose + " Please enable JavaScript to view this page. " + prose), (902, None), (903, ""), (904, "Lorem ipsum dolor sit amet."), (904, "Lorem ipsum dolor sit amet.")]
     got = sorted(r["doc_id"] for r in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [900, 901, 904, 904]
+
+
+def test_copies_of_an_error_page_do_not_count_as_prose(spark):
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    prose = [(i, " ".join(rng.choice(vocab) for _ in range(190)) + ".") for i in range(400)]
+    page = [(1000 + i, f"Please verify that you are a human to continue. Request id {70000 + i}.") for i in range(200)]
+    got = {r["doc_id"] for r in residue.find_residue(spark.createDataFrame(prose + page, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in page}
