@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.hashed import corpus_counts, whole_texts
+from lucerna.llm.hashed import corpus_counts, distinct_texts
 
 UNI, BI, LINES = 1 << 20, 1 << 21, 1 << 19
 #: Fixed values: (printed, as misread) segments known from optical character recognition, with a prior count.
@@ -55,6 +55,10 @@ class Counts:
         self.found: dict[str, dict[str, float]] = {}
         self.tokens: dict[str, bool] = {}
 
+    #: Counts over all rows beside those over distinct texts, and the other way round.
+    rows: Counts | None = None
+    texts: Counts | None = None
+
     def word(self, w: str) -> int:
         n = self.cache.get(w)
         if n is None:
@@ -88,22 +92,26 @@ def core(token: str) -> str:
 
 
 def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
-    """Add texts to the tables. Pieces of words at hyphenated line ends are left out."""
+    """Add ``(text, copies)`` to the tables of texts and of rows. Pieces of words at hyphenated line ends are left out."""
     uni: Counter = Counter()
     bi: Counter = Counter()
     lines: Counter = Counter()
     forms: dict[str, str] = {}
 
-    def flush() -> None:
-        for c, t, w in ((uni, tables[0], UNI), (bi, tables[1], BI), (lines, tables[2], LINES)):
+    def flush(copies: int) -> None:
+        for c, t, r, w in ((uni, tables[0], tables[3], UNI), (bi, tables[1], tables[4], BI), (lines, tables[2], None, LINES)):
             for key, n in c.items():
-                a, b = _slots(key, w)
-                t[a] += n
-                if b != a:
-                    t[b] += n
+                for slot in set(_slots(key, w)):
+                    t[slot] += n
+                    if r is not None:
+                        r[slot] += n * copies
             c.clear()
 
-    for (text,) in rows:
+    last = 1
+    for text, copies in sorted(rows, key=lambda x: x[1]):
+        if copies != last:
+            flush(last)
+            last = copies
         prev, broken = "", False
         for line in text.split("\n"):
             s = line.strip()
@@ -123,13 +131,14 @@ def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
                     bi[f"{prev} {w}"] += 1
                 prev = w
         if len(bi) > 400_000 or len(forms) > 400_000:
-            flush()
+            flush(last)
             forms.clear()
-    flush()
+    flush(last)
 
 
 def fit_counts(df: DataFrame, text_col: str = "text") -> list[np.ndarray]:
-    return corpus_counts(whole_texts(df, text_col), ["text"], [UNI, BI, LINES], count_feed)
+    """Counts over the distinct texts (the copies of a chunk make no misread word of it a known one), then words and pairs over all rows."""
+    return corpus_counts(distinct_texts(df, text_col), ["text", "n"], [UNI, BI, LINES, UNI, BI], count_feed)
 
 
 def _aligned(noisy: str, proof: str) -> Iterator[tuple[str, str]]:
@@ -205,7 +214,7 @@ def candidates(word: str, confusions: dict[str, list[tuple[str, float]]], counts
                             if v != word and lp + p > nxt.get(v, -99.0):
                                 nxt[v] = lp + p
         for v, lp in nxt.items():
-            if counts.word(norm(v)) >= floor and lp > out.get(v, -99.0):
+            if counts.word(norm(v)) >= floor and lp > out.get(v, -99.0) and (counts.texts is None or counts.texts.word(norm(v)) >= counts.texts.word(norm(word))):
                 out[v] = lp
         if out:
             break
@@ -221,7 +230,15 @@ def _suspicious(w: str, counts: Counts) -> bool:
 
 
 def decode_line(tokens: list[str], confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> tuple[list[str], int]:
-    """The most likely words of a line and how many were misread."""
+    """The most likely words of a line and how many were misread: by the distinct texts, then by all rows where the texts do not speak against it."""
+    words, n = _decode(tokens, confusions, counts)
+    if counts.rows is None:
+        return words, n
+    words, m = _decode(words, confusions, counts.rows)
+    return words, n + m
+
+
+def _decode(tokens: list[str], confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> tuple[list[str], int]:
     seen = counts.tokens
     odd = []
     for t in tokens:
@@ -370,8 +387,8 @@ def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id"
     ``text`` is the repaired text as paragraphs; the counts are the words joined over a line end, the
     words corrected and the header and page number lines removed: 0, 0, 0 for a clean row. Null texts
     give no row, an empty text an empty one; repeated rows are repaired each for itself; other columns
-    are ignored. Words, pairs and lines are counted over all rows into tables of fixed size (14 MB)
-    that are broadcast; the repair is a narrow map.
+    are ignored. Words, pairs and lines are counted over the distinct texts, words and pairs also over
+    all rows, into tables of fixed size (26 MB) that are broadcast; the repair is a narrow map over all rows.
     """
     spark = chunks.sparkSession
     model = fit_confusions(chunks, proofs, id_col, text_col) if proofs is not None else {(r, p): math.log(1 / len(CONFUSIONS)) + MISREAD for p, r in CONFUSIONS}
@@ -384,7 +401,9 @@ def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         confusions, tables = shared.value
-        counts = Counts(tables)
+        counts = Counts(tables[:3])
+        counts.rows = Counts([*tables[3:], tables[2]])
+        counts.rows.texts = counts
         for b in batches:
             out = [(i, *repair(t, confusions, counts)) for i, t in zip(b["chunk_id"], b["text"])]
             yield pd.DataFrame(out, columns=["chunk_id", "text", "n_joined", "n_misread", "n_removed"])

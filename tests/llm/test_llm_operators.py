@@ -80,6 +80,14 @@ def test_scan_repair(spark):
     assert [r["chunk_id"] for r in scan.scanned(scan.repair_scans(df, None)).collect()] == [100]
 
 
+def test_copies_do_not_make_a_misread_word_known(spark):
+    clean = [(i, f"The slope of the temperature gradient changes when chemical tagging replaces analysis {i}.") for i in range(60)]
+    noisy = [(1000 + i, "The slope of the temperature gradient changcs when chemical tagging replaces the analysis.") for i in range(30)]
+    df = spark.createDataFrame(clean + noisy, "id long, text string")
+    got = {r["chunk_id"]: r["text"] for r in scan.repair_scans(df, None).collect()}
+    assert {got[i] for i, _ in noisy} == {noisy[0][1].replace("changcs", "changes")}
+
+
 def test_structure_is_kept():
     import numpy as np
 
