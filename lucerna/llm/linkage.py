@@ -162,8 +162,47 @@ PASSES = {
     "surname+year": ["surname", "year"], "volume+page": ["volume", "page"], "year+page": ["year", "page"], "surname+page": ["surname", "page"],
     "surname+volume": ["surname", "volume"], "journal+volume+year": ["journal", "volume", "year"], "journal+page": ["journal", "page"],
 }
-#: Passes that may be left out for a block of more pairs than this: the other passes still bring every pair that agrees on one more number.
+#: Passes whose blocks of more pairs than this are left to finer keys (``finer_pairs``), which bring every pair that ``strong`` accepts.
 COARSE, LARGEST = ("surname+year", "journal+volume+year", "journal+page", "surname+volume"), 200_000
+#: Parts over which the pairs of a finer key are spread, so that a hub is no single task.
+SALT = 8
+
+
+def _page_keys(page: Column, blank: str, always: str) -> Column:
+    """Keys of which two pages share one if either is missing or they are near (``_level`` 1): one place masked, digits sorted, first three places."""
+    masked = F.transform(F.sequence(F.lit(1), F.length(page)), lambda i: F.concat(F.lit("m"), F.substring(page, F.lit(1), i - 1), F.lit("*"), F.substring(page, i + 1, F.length(page))))
+    near = F.concat(masked, F.array(F.concat(F.lit("s"), F.array_join(F.array_sort(F.split(page, "")), ""))), F.when(F.length(page) >= 3, F.array(F.concat(F.lit("p"), F.substring(page, 1, 3)))).otherwise(F.array().cast("array<string>")))
+    return F.when(page == "", F.array(F.lit(blank), F.lit(always))).otherwise(F.concat(near, F.array(F.lit(always))))
+
+
+def finer_pairs(r: DataFrame, c: DataFrame) -> DataFrame:
+    """``rk, ck`` of every pair ``strong`` accepts that no pass on equal pages brings, whatever the size of its block.
+
+    Without an equal page, ``strong`` asks for an equal volume with the surname or the year and a page near or
+    missing, or for equal surname, year and a further author. Both years of a candidate count.
+    """
+    years = lambda df, p: df.withColumn("y", F.explode(F.array_distinct(F.array(f"{p}_year", f"{p}_year2") if p == "c" else F.array(f"{p}_year"))))
+    out = None
+    for keys in (["surname", "volume"], ["y", "volume"], ["surname", "y", "person"]):
+        sides = []
+        for df, p, k in ((r, "r", "rk"), (c, "c", "ck")):
+            df = years(df, p) if "y" in keys else df
+            if "person" in keys:
+                df = df.withColumn("person", F.explode(F.array_except(F.col(f"{p}_people"), F.array(f"{p}_surname"))))
+                sub = F.array(F.lit(""))
+            else:
+                # a missing page meets every page of the other side
+                sub = _page_keys(F.col(f"{p}_page"), "-r" if p == "r" else "-c", "-c" if p == "r" else "-r")
+            cols = [F.col(x if x in ("y", "person") else f"{p}_{x}") for x in keys]
+            for x in cols:
+                df = df.where(x != "")
+            salt = F.array(F.pmod(F.col(k), F.lit(SALT)).cast("int")) if p == "r" else F.sequence(F.lit(0), F.lit(SALT - 1))
+            sides.append(df.select(k, F.concat_ws("\u0001", *cols).alias("b"), F.explode(sub).alias("s"), salt.alias("salts")).select(k, "b", "s", F.explode("salts").alias("salt")))
+        pairs = sides[0].join(sides[1], ["b", "s", "salt"]).select("rk", "ck")
+        out = pairs if out is None else out.unionByName(pairs)
+    # the pages of the two years: an equal page with the year of the bibcode
+    by_page = years(c, "c").where("y <> '' and c_page <> ''").select("ck", F.concat_ws("\u0001", "y", "c_page").alias("b"))
+    return out.unionByName(r.where("r_year <> '' and r_page <> ''").select("rk", F.concat_ws("\u0001", "r_year", "r_page").alias("b")).join(by_page, "b").select("rk", "ck")).distinct()
 
 
 def _level(a: str, b: str, near: Column) -> Column:
@@ -190,7 +229,7 @@ def comparisons(refs: DataFrame, cands: DataFrame) -> DataFrame:
             left = left.join(sizes, "b")
         pairs = left.join(right, "b").select("rk", "ck")
         found = pairs if found is None else found.unionByName(pairs)
-    both = cut(found.distinct()).join(r, "rk").join(c, "ck")
+    both = cut(cut(found.distinct()).unionByName(cut(finer_pairs(r, c))).distinct()).join(r, "rk").join(c, "ck")
     digits = lambda x: F.array_sort(F.split(F.col(x), ""))
     near_digits = lambda a, b: (F.length(a) == F.length(b)) & ((F.length(a) > 1) & (F.levenshtein(F.col(a), F.col(b)) <= 1) | (digits(a) == digits(b))) | (F.length(a) >= 3) & (F.col(a).startswith(F.col(b)) | F.col(b).startswith(F.col(a))) & (F.length(b) >= 3)
     others = lambda p: F.array_except(F.col(f"{p}_people"), F.array(F.col("r_surname"), F.col("c_surname")))
@@ -249,8 +288,8 @@ def link_records(refs: DataFrame, cands: DataFrame, journals: DataFrame, thresho
 
     Records equal in all compared fields are compared once, as one representative, and expanded to their
     rows at the end, so a group of copies that holds a third of a table costs one comparison. A block of a
-    coarse pass with more than ``LARGEST`` pairs is left to the finer passes, which bring every pair of it
-    that also agrees on a volume or page; a pair that agrees on nothing else is no match. Records without
+    coarse pass with more than ``LARGEST`` pairs is left to finer keys that together bring every pair the
+    last check can accept (``finer_pairs``), so no pair is lost by the size of its block. Records without
     any compared value match nothing; null fields count as missing; repeated ids give their pairs once.
     Level patterns (at most 4⁶) are the only thing that reaches the driver, besides the journals table,
     which must have at most 10 000 rows.

@@ -113,6 +113,23 @@ def test_linkage(spark):
     assert linkage.link_records(r.limit(0), c, j).count() == 0
 
 
+def test_an_oversized_block_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "LARGEST", 0)
+    schema = "ref_id long, authors_text string, first_author string, year string, journal string, volume string, page string"
+    name = lambda i: "Surname" + chr(97 + i) * 3
+    mate = lambda i: "Partner" + chr(122 - i) * 3
+    rows = [[i, f"{name(i)}, {mate(i)}", name(i), str(1990 + i), "JGD", str(100 + 7 * i), str(1000 + 13 * i)] for i in range(20)]
+    rows[3][6] = None  # page missing
+    rows[4][6] = "1502"  # 1052 misprinted
+    rows[5][5] = rows[5][6] = None  # co-author only
+    rows[6][6], rows[6][2], rows[6][1] = None, "Surnamxggg", f"Surnamxggg, {mate(6)}"  # year and volume
+    c = [(500 + i, [f"{name(i)}, A.", f"{mate(i)}, B."], str(1990 + i), "JGD", str(100 + 7 * i), str(1000 + 13 * i), None) for i in range(20)]
+    r = spark.createDataFrame([tuple(x) for x in rows], schema)
+    c = spark.createDataFrame(c, "cand_id long, authors array<string>, year string, journal string, volume string, page string, bibcode string")
+    j = spark.createDataFrame([("JGD", "Journal of Galactic Dynamics", "JGDyn")], "journal string, full_name string, bibstem string")
+    assert {(x["ref_id"], x["cand_id"]) for x in linkage.link_records(r, c, j).collect()} == {(i, 500 + i) for i in range(20)}
+
+
 # 6 names
 def test_name_variants(spark):
     spelled = ["Bronemetriss, Daniel P.", "Bronemetriss D. P.", "D. P. Bronemetriss", "Bronmeetriss D. P.", "BRONEMETRISS, Daniel P."]
