@@ -1,9 +1,15 @@
 """Text and vector retrieval."""
 
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.chunk import chunk_texts, fixed_chunks
+from lucerna.functions.text import words
 from lucerna.operators import bm25, retrieval, vectors
 from lucerna.plans.base import query, table
 from lucerna.runtime import small
@@ -83,12 +89,62 @@ def _(s, d):
     return retrieval.within_budget(picks.join(c.drop("paper_id"), "id"), ["paper_id"], [F.col("pick")], F.length("text"), 24_000, 2).select("paper_id", "id", "pick", "used")
 
 
+def related_papers(p, c, asked, k: int = 10):
+    """``query_id, id, bm25``: the ``k`` papers nearest to each of the papers ``asked`` (a condition), by their best chunk.
+
+    Terms are the first 14 of title, 600 characters of the abstract and 450 of the first chunk, any of which
+    may match; all chunks of other papers are ranked.
+    """
+    first = retrieval.top_per_group(c.select("paper_id", "chunk_ord", F.col("id").alias("chunk_id"), "text"), ["paper_id"], [F.col("chunk_ord"), F.col("chunk_id")])
+    q = p.where(asked).select(F.col("id").alias("query_id"), "title", "abstract").join(first.select(F.col("paper_id").alias("query_id"), F.substring("text", 1, 450).alias("chunk")), "query_id", "left")
+    text = F.concat_ws(" ", F.trim("title"), F.substring(F.trim("abstract"), 1, 600), "chunk")
+    terms = F.slice(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda x: ~x.isin(*bm25.RESERVED))), 1, 14)
+    asked_terms = q.select("query_id", F.explode(terms).alias("term"))
+    toks = c.select("paper_id", words(F.coalesce("text", F.lit(""))).alias("w")).where("paper_id is not null")
+    n, avg_len = toks.agg(F.count("*"), F.avg(F.size("w"))).first()
+    seen = toks.select(F.explode(F.array_distinct("w")).alias("term")).join(small(asked_terms.select("term").distinct(), 200_000), "term", "left_semi").groupBy("term").agg(F.count("*").alias("d"))
+    of: dict[str, tuple[float, list[int]]] = {}
+    for r in small(asked_terms.join(seen, "term"), 200_000).collect():  # a stated set of papers, at most 14 terms each
+        idf = math.log((n - r["d"] + 0.5) / (r["d"] + 0.5))
+        of.setdefault(r["term"], (idf if idf > 0 else 1e-6, []))[1].append(r["query_id"])
+    ids = sorted({i for _, x in of.values() for i in x})
+    place = {i: j for j, i in enumerate(ids)}
+    shared = c.sparkSession.sparkContext.broadcast({t: (idf, [place[i] for i in x]) for t, (idf, x) in of.items()})
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                b = whole.iloc[lo : lo + 2000]
+                papers, found = b["paper_id"].to_numpy(), {}
+                for i, w in enumerate(b["w"]):
+                    tf = Counter(t for t in w if t in shared.value)
+                    for t, f in tf.items():
+                        at, got = found.setdefault(t, ([], []))
+                        at.append(i)
+                        got.append(shared.value[t][0] * f * (bm25.K1 + 1) / (f + bm25.K1 * (1 - bm25.B + bm25.B * len(w) / avg_len)))
+                score = np.zeros((len(ids), len(b)))
+                for t, (at, got) in found.items():
+                    for j in shared.value[t][1]:
+                        score[j, at] += got
+                out = []
+                for j, i in enumerate(ids):
+                    hit = np.flatnonzero((score[j] > 0) & (papers != i))
+                    best: dict = {}
+                    for x in hit[np.lexsort((papers[hit], np.round(-score[j, hit], 9)))]:
+                        best.setdefault(int(papers[x]), -float(score[j, x]))
+                        if len(best) == k:
+                            break
+                    out += [(i, x, v) for x, v in best.items()]
+                yield pd.DataFrame(out, columns=["query_id", "id", "bm25"])
+
+    # the best k papers of a part hold every one of the best k of all that has its best chunk there: no posting is shuffled
+    papers = toks.mapInPandas(run, "query_id long, id long, bm25 double").groupBy("query_id", "id").agg(F.min("bm25").alias("bm25"))
+    return retrieval.top_per_group(papers, ["query_id"], [F.round("bm25", 9), F.col("id")], k).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+
+
 @query("t9_related_papers")
 def _(s, d):
-    p = table(s, d, "papers").select("id", "title", "abstract")
-    toks = p.select(F.col("id").alias("query_id"), F.explode(F.slice(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("title"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda x: ~x.isin(*bm25.RESERVED))), 1, 14)).alias("term")).where("query_id % 50 = 0")
-    hits = bm25.search_many(p, "id", F.col("title"), toks).where("id <> query_id")
-    return retrieval.top_per_group(hits, ["query_id"], [F.round("bm25", 9), F.col("id")], 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+    return related_papers(table(s, d, "papers"), table(s, d, "paper_chunks"), "id % 50 = 0")
 
 
 @query("t13_local_search", r"""

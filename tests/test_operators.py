@@ -110,6 +110,17 @@ def test_replace_and_patch(spark):
     assert sorted(map(tuple, mutate.replace_references(old, new).collect())) == [(1, "d"), (2, "c")]
 
 
+def test_related_papers_by_content(spark, tmp_path):
+    import __spark_entry__ as e
+
+    fill = [(k, f"Other {k}", "nothing shared") for k in range(1, 12)]
+    spark.createDataFrame([(50, "Unlike title", "pulsar glitches"), (60, "Second", None), (70, None, None), *fill], "id long, title string, abstract string").write.parquet(f"{tmp_path}/papers.parquet")
+    chunks = [(1, 50, 1, "late words"), (2, 50, 0, "superfluid crust"), (3, 60, 0, "gas"), (4, 60, 1, "pulsar glitches and dust"), (5, 70, 0, "the superfluid crust of neutron stars"), (6, 70, 1, None), *[(100 + k, k, 0, f"word{k} elsewhere") for k in range(1, 12)]]
+    spark.createDataFrame(chunks, "id long, paper_id long, chunk_ord int, text string").write.parquet(f"{tmp_path}/paper_chunks.parquet")
+    got = e.queries()["t9_related_papers"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["id"]) for r in got} == {(50, 60), (50, 70)}
+
+
 def test_every_query_has_a_plan_entry():
     import __spark_entry__ as e
 
