@@ -133,6 +133,21 @@ def _(s, d):
     return table(s, d, "paper_chunks").where("text is not null").select("id", (1 + F.length(pre) - F.length(F.replace(pre, F.lit("\n"), F.lit("")))).cast("long").alias("page"))
 
 
+@query("j12_page_of_chunk", """
+WITH c AS (SELECT k.id, k.paper_id, k.char_start, k.text FROM paper_chunks k JOIN papers p ON p.id = k.paper_id WHERE p.source_kind = 'pdf'),
+b AS (SELECT DISTINCT paper_id, pos FROM (SELECT paper_id, char_start + i - 1 AS pos, substring(text, i, 1) AS x FROM (SELECT *, unnest(generate_series(1, length(text))) AS i FROM c WHERE contains(text, chr(12)))) WHERE x = chr(12))
+SELECT id, (SELECT count(*) FROM b WHERE b.paper_id = c.paper_id AND pos <= char_start) + 1 AS page FROM c WHERE char_start IS NOT NULL AND paper_id IN (SELECT paper_id FROM b)""")
+def _(s, d):
+    # the whole text of a source is what its chunks hold at their places; a page break in an overlap is one break
+    pdf = table(s, d, "papers").where("source_kind = 'pdf'").select(F.col("id").alias("paper_id"))
+    c = table(s, d, "paper_chunks").select("id", "paper_id", F.col("char_start").cast("long").alias("pos"), "text").where("pos is not null").join(pdf, "paper_id", "left_semi")
+    at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(1)) == "\f")
+    breaks = c.where(F.contains("text", F.lit("\f"))).select("paper_id", F.explode(F.transform(at, lambda i: F.col("pos") + i - 1)).alias("pos")).distinct()
+    both = breaks.select("paper_id", "pos", F.lit(None).cast("long").alias("id"), F.lit(0).alias("k")).unionByName(c.select("paper_id", "pos", "id", F.lit(1).alias("k")).join(breaks.select("paper_id").distinct(), "paper_id", "left_semi"))
+    w = Window.partitionBy("paper_id").orderBy("pos", "k", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("page", F.sum(1 - F.col("k")).over(w) + 1).where("k = 1").select("id", "page")
+
+
 @query("j14_reference_to_candidate", """
 WITH r AS (SELECT ref_id, lower(first_author) AS a, substr(year, 1, 4) AS y FROM parsed_references WHERE first_author IS NOT NULL AND year IS NOT NULL),
 c AS (SELECT cand_id, lower(split_part(authors[1], ',', 1)) AS a, substr(year, 1, 4) AS y FROM candidates WHERE len(authors) > 0 AND year IS NOT NULL),

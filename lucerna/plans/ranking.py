@@ -196,6 +196,16 @@ def _(s, d):
     return x.select("chunk_id", retrieval.grounded(F.substring("proof_text", 1, 120), F.col("text")).alias("grounded"))
 
 
+@query("f15_grounding_whole", r"""
+WITH x AS (SELECT p.chunk_id, p.proof_text AS e, c.text AS b FROM chunk_proofs p JOIN paper_chunks c ON c.id = p.chunk_id),
+y AS (SELECT chunk_id, trim(regexp_replace(lower(e), '\s+', ' ', 'g')) AS fe, trim(regexp_replace(lower(b), '\s+', ' ', 'g')) AS fb,
+list_distinct(regexp_extract_all(lower(e), '[\p{L}\p{N}]{3,}')) AS te, list_distinct(regexp_extract_all(lower(b), '[\p{L}\p{N}]{3,}')) AS tb FROM x)
+SELECT chunk_id, fe <> '' AND (contains(fb, fe) OR len(list_intersect(te, tb)) / len(te) >= 0.6) AS grounded FROM y""")
+def _(s, d):
+    x = table(s, d, "chunk_proofs").join(table(s, d, "paper_chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
+    return x.select("chunk_id", retrieval.grounded(F.col("proof_text"), F.col("text")).alias("grounded"))
+
+
 @query("w6_bundles")
 def _(s, d):
     return retrieval.pack_bundles(table(s, d, "paper_chunks"), "paper_id", "chunk_ord", "text", 8000).groupBy("paper_id").agg(F.max("bundle").alias("last_bundle"), F.count("*").alias("chunks"))

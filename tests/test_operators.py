@@ -121,6 +121,26 @@ def test_related_papers_by_content(spark, tmp_path):
     assert {(r["query_id"], r["id"]) for r in got} == {(50, 60), (50, 70)}
 
 
+def test_page_of_chunk_counts_form_feeds(spark, tmp_path):
+    import __spark_entry__ as e
+
+    spark.createDataFrame([(1, "pdf"), (2, "pdf"), (3, "tex")], "id long, source_kind string").write.parquet(f"{tmp_path}/papers.parquet")
+    whole = "a" * 500 + "\f" + "b" * 99 + "\f" + "c" * 200
+    rows = [(10 + s, 1, s, whole[s : s + 300]) for s in (0, 250, 500, 501, 600, 700)] + [(2, 2, 0, "no break"), (3, 3, 0, "\f"), (4, 1, 900, None)]
+    spark.createDataFrame(rows, "id long, paper_id long, char_start int, text string").write.parquet(f"{tmp_path}/paper_chunks.parquet")
+    got = dict(map(tuple, e.queries()["j12_page_of_chunk"](spark, str(tmp_path)).collect()))
+    assert got == {10: 1, 260: 1, 510: 2, 511: 2, 610: 3, 710: 3, 4: 3}
+
+
+def test_grounding_reads_the_whole_proof(spark, tmp_path):
+    import __spark_entry__ as e
+
+    body = "The slope of the gradient changes. " * 4
+    spark.createDataFrame([(1, body + "wholly unrelated invention follows about seven different fabricated matters instead")], "chunk_id long, proof_text string").write.parquet(f"{tmp_path}/chunk_proofs.parquet")
+    spark.createDataFrame([(1, body)], "id long, text string").write.parquet(f"{tmp_path}/paper_chunks.parquet")
+    assert [r["grounded"] for r in e.queries()["f15_grounding_whole"](spark, str(tmp_path)).collect()] == [False]
+
+
 def test_every_query_has_a_plan_entry():
     import __spark_entry__ as e
 
