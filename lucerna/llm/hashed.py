@@ -1,11 +1,13 @@
 """Feature counts of a whole corpus in tables of fixed size.
 
 Every feature is hashed to a slot of a counter table, so the model is as large for 100 TB as for a
-fixture and may be broadcast: its size is ``4 * sum(widths)`` bytes by construction.
+fixture and may be broadcast: its size is ``4 * sum(widths)`` bytes by construction. What collisions
+add to a slot on average is estimated by ``noise`` and taken off by the users of a table.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,45 +17,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 32
+#: Tables of partitions that are added in one task.
+FAN_IN = 64
+_TOP = np.uint64(2**32 - 1)
 
 
 def corpus_counts(df: DataFrame, cols: list[str], widths: list[int], feed: Callable[[list[np.ndarray], Iterable[tuple]], None]) -> list[np.ndarray]:
     """Counter tables over all rows of ``df``.
 
-    ``feed(tables, rows)`` adds the rows of a batch to the partition's tables (uint32, one per width).
-    Each partition sends its tables once, compressed and cut into slices; slices are added in two steps
-    (salted first), so no task holds the tables of all partitions. An empty input gives zero tables.
+    ``feed(tables, rows)`` adds the rows of a batch to the partition's tables (uint64, one per width). Each
+    partition sends its tables once, compressed and cut into slices. Slices are added in a tree: ``FAN_IN``
+    neighbouring partitions a task, then as many of their sums, so no task holds more than ``FAN_IN``
+    slices whatever the number of partitions. Sums stop at 2³²-1. An empty input gives zero tables.
     """
     ends = np.cumsum([0, *widths])
     cuts = np.linspace(0, int(ends[-1]), SLICES + 1).astype(int)
 
+    def pack(x: np.ndarray) -> bytes:
+        return zlib.compress(np.minimum(x, _TOP).astype(np.uint32).tobytes(), 1)
+
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat = np.zeros(int(ends[-1]), dtype=np.uint32)
+        from pyspark import TaskContext
+
+        flat = np.zeros(int(ends[-1]), dtype=np.uint64)
         tables = [flat[ends[i] : ends[i + 1]] for i in range(len(widths))]
-        salt = 0
-        for b in batches:
-            feed(tables, zip(*[b[c] for c in cols]))
-            salt = (salt * 31 + len(b)) % 64
-        rows = [(i, salt, zlib.compress(flat[cuts[i] : cuts[i + 1]].tobytes(), 1)) for i in range(SLICES) if flat[cuts[i] : cuts[i + 1]].any()]
-        yield pd.DataFrame(rows, columns=["slice", "salt", "data"])
+        feed(tables, (row for b in batches for row in zip(*[b[c] for c in cols])))
+        rows = [(i, TaskContext.get().partitionId(), pack(flat[cuts[i] : cuts[i + 1]])) for i in range(SLICES) if flat[cuts[i] : cuts[i + 1]].any()]
+        yield pd.DataFrame(rows, columns=["slice", "part", "data"])
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
         total = None
         for x in b["data"]:
             part = np.frombuffer(zlib.decompress(x), dtype=np.uint32)
             total = part.astype(np.uint64) if total is None else total + part
-        data = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
-        return pd.DataFrame([(int(b["slice"].iloc[0]), 0, data)], columns=["slice", "salt", "data"])
+        return pd.DataFrame([(int(b["slice"].iloc[0]), int(b["part"].iloc[0]) // FAN_IN, pack(total))], columns=["slice", "part", "data"])
 
-    kind = "slice int, salt int, data binary"
-    parts = df.select(*cols).mapInPandas(local, kind)
-    summed = parts.groupBy("slice", "salt").applyInPandas(add, kind).groupBy("slice").applyInPandas(add, kind)
+    kind = "slice int, part int, data binary"
+    sums = df.select(*cols).mapInPandas(local, kind)
+    for _ in range(max(1, math.ceil(math.log(most_partitions(df), FAN_IN)))):
+        sums = sums.groupBy("slice", F.floor(F.col("part") / FAN_IN)).applyInPandas(add, kind)
     flat = np.zeros(int(ends[-1]), dtype=np.uint32)
-    for r in summed.collect():  # SLICES rows, of fixed total size
+    for r in sums.collect():  # SLICES rows, of fixed total size
         flat[cuts[r["slice"]] : cuts[r["slice"] + 1]] = np.frombuffer(zlib.decompress(bytes(r["data"])), dtype=np.uint32)
     return [flat[ends[i] : ends[i + 1]] for i in range(len(widths))]
 
 
+def most_partitions(df: DataFrame) -> int:
+    """An upper bound of the partitions of ``df``: those of a shuffle, or of a scan by the bytes the plan reads."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = 1 << 20  # no scan is cut finer than this, whatever the settings
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, min(1 << 24, size // split + 1))
+
+
+def noise(table: np.ndarray) -> float:
+    """What an average slot holds of features that meet there by chance: the median, which few heavy features cannot move."""
+    return float(np.median(table))
+
+
 def whole_texts(df: DataFrame, col: str) -> DataFrame:
     """The non-empty texts of a column."""
     return df.select(F.col(col).alias("text")).where(F.length("text") > 0)

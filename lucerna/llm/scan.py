@@ -20,9 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.hashed import corpus_counts, distinct_texts
+from lucerna.llm.hashed import corpus_counts, distinct_texts, noise
 
-UNI, BI, LINES = 1 << 20, 1 << 21, 1 << 19
+UNI, BI, LINES, PRE = 1 << 20, 1 << 21, 1 << 19, 1 << 20
+#: Lengths of the counted beginnings of words.
+BEGIN = (3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48)
+_BEGIN = frozenset(BEGIN)
+GAP = "\0"
 #: Fixed values: (printed, as misread) segments known from optical character recognition, with a prior count.
 CONFUSIONS = [(a, b) for a, b in (p.split(">") for p in "rn>m m>rn l>1 1>l i>1 i>l l>i l>| i>| I>| 1>| I>l l>I o>0 0>o O>0 0>O s>5 5>s S>5 5>S s>$ S>$ e>c c>e a>@ a>o o>a B>8 8>B g>9 9>g q>9 z>2 2>z Z>2 b>6 6>b b>h h>b cl>d d>cl vv>w w>vv li>h ii>n n>ii u>ii u>n n>u f>t t>f fi>h ti>h ri>n in>m ni>m nn>m E>F F>E G>6 t>+ e>o n>h h>n y>v v>y D>O Q>O A>4 T>7".split())]
 PRIOR = 2.0
@@ -33,6 +37,8 @@ _EDGE = re.compile(r"^\s*(?:\d{1,4}\s{2,}|\d{1,4}\s*[|·—]\s*)|(?:\s{2,}\d{1,4
 _STRUCT = re.compile(r"\t|^\s*(?:[-*•]\s|\d+[.)]\s|\(\w{1,3}\)\s|#)|\s=\s.*\(\d+\)\s*$|\S {3,}\S")
 _CORE = re.compile(r"^([\"'“‘(\[{]*)(.*?)([\"'”’)\]},.;:!?…]*)$", re.S)
 _DIGITS = re.compile(r"\d+")
+#: A word broken at a line end with what follows it.
+_BROKEN = re.compile(r"[-­¬‐][ \t]*(?:\n\s*\S*|\Z)")
 
 
 def norm(word: str) -> str:
@@ -40,47 +46,83 @@ def norm(word: str) -> str:
     return _DIGITS.sub("0", word.lower())
 
 
-def _slots(key: str, width: int) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(key)
-    return h % width, (h >> 32) * 0x9E3779B1 % width
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
-class Counts:
-    """Two-way hashed counts of words, word pairs and stand-alone lines; an estimate never falls short."""
+def _slots(h, width: int):
+    """Two slots of a 64-bit hash, or of an array of them."""
+    return h % width, ((h >> 32) * 0x9E3779B1) % width
+
+
+def _mixed(a, b):
+    """Hash of a pair of words from their hashes, for numbers and for arrays."""
+    return (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ b >> 29) & 0xFFFFFFFFFFFFFFFF
+
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.uni, self.bi, self.lines = tables
-        self.total = max(1.0, float(self.uni.sum()) / 2)
-        self.cache: dict[str, int] = {}
-        self.found: dict[str, dict[str, float]] = {}
-        self.tokens: dict[str, bool] = {}
+class Counts:
+    """Two-way hashed counts of words, word pairs and stand-alone lines, and one-way counts of the beginnings of words.
 
-    #: Counts over all rows beside those over distinct texts, and the other way round.
-    rows: Counts | None = None
-    texts: Counts | None = None
+    An estimate is the smaller of two slots less what chance adds to a slot (``noise``), and at least 0.
+    """
 
-    def word(self, w: str) -> int:
+    def __init__(self, tables: list[np.ndarray], rows: Counts | None = None):
+        #: Counts over all rows, beside these over the distinct texts.
+        self.rows = rows
+        self.noise = [noise(t) for t in tables]
+        self.total = max(1.0, float(tables[0].sum(dtype=np.float64)) / 2)
+        self.uni, self.bi, self.lines, *pre = (memoryview(np.ascontiguousarray(t)) for t in tables)
+        self.pre = pre[0] if pre else None
+        self.least = LEAST + 4 * math.sqrt(self.noise[0])
+        self.hashes: dict[str, int] = {}
+        self.cache: dict[str, float] = {}
+        self.begun: dict[str, float] = {}
+        #: Tokens that stay as they are; the parts of the others and their candidates by texts and by rows.
+        self.fine: set[str] = set()
+        self.odd: dict[str, tuple[tuple[str, str, str], dict[str, float], dict[str, float]]] = {}
+
+    def hash(self, w: str) -> int:
+        h = self.hashes.get(w)
+        if h is None:
+            if len(self.hashes) > 300_000:
+                self.hashes.clear()
+            h = self.hashes[w] = _hash(w)
+        return h
+
+    def word(self, w: str) -> float:
         n = self.cache.get(w)
         if n is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            a, b = _slots(w, UNI)
-            n = self.cache[w] = int(min(self.uni[a], self.uni[b]))
+            h = _hash(w)
+            n = self.uni[h % UNI]
+            if n:
+                n = max(0.0, min(n, self.uni[((h >> 32) * 0x9E3779B1) % UNI]) - self.noise[0])
+            self.cache[w] = n
         return n
 
-    def pair(self, a: str, b: str) -> int:
-        i, j = _slots(f"{a} {b}", BI)
-        return int(min(self.bi[i], self.bi[j]))
+    def begins(self, prefix: str) -> float:
+        """At least how many words begin with ``prefix`` (of ``BEGIN`` letters)."""
+        n = self.begun.get(prefix)
+        if n is None:
+            if len(self.begun) > 300_000:
+                self.begun.clear()
+            n = self.begun[prefix] = self.pre[_hash("^" + prefix) % PRE] if self.pre is not None else math.inf
+        return n
 
-    def line(self, s: str) -> int:
-        i, j = _slots(s, LINES)
-        return int(min(self.lines[i], self.lines[j]))
+    def pair(self, a: str, b: str) -> float:
+        i, j = _slots(_mixed(self.hash(a), self.hash(b)), BI)
+        return max(0.0, min(self.bi[i], self.bi[j]) - self.noise[1])
+
+    def line(self, s: str) -> float:
+        i, j = _slots(_hash(s), LINES)
+        return max(0.0, min(self.lines[i], self.lines[j]) - self.noise[2])
 
     def log(self, a: str, b: str, own: float = 0.0) -> float:
         """Interpolated log-probability of ``b`` after ``a``, without ``own`` occurrences of its own."""
-        na, nb = self.word(a), max(0, self.word(b) - own)
+        na, nb = self.word(a), max(0.0, self.word(b) - own)
         p1 = (nb + 0.01) / self.total
-        return math.log(0.75 * max(0, self.pair(a, b) - own) / (na + 1.0) + 0.25 * p1)
+        return math.log(0.75 * max(0.0, self.pair(a, b) - own) / (na + 1.0) + 0.25 * p1)
 
 
 def line_key(line: str) -> str:
@@ -91,54 +133,90 @@ def core(token: str) -> str:
     return _CORE.match(token).group(2)
 
 
+class _Words(dict):
+    """Token → number of its counted form; 0 is a gap. Hashes and beginnings of each form are kept beside it."""
+
+    def __init__(self) -> None:
+        super().__init__({GAP: 0})
+        self.forms: dict[str, int] = {GAP: 0}
+        self.hash: list[int] = [0]
+        self.begin: list[list[int]] = [[-1] * len(BEGIN)]
+
+    def __missing__(self, token: str) -> int:
+        w = GAP if token.endswith(GAP) else norm(core(token))
+        i = self.forms.get(w)
+        if i is None:
+            i = self.forms[w] = len(self.forms)
+            self.hash.append(_hash(w))
+            self.begin.append([_hash("^" + w[:k]) % PRE if len(w) >= k else -1 for k in BEGIN])
+        self[token] = i
+        return i
+
+
 def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
-    """Add ``(text, copies)`` to the tables of texts and of rows. Pieces of words at hyphenated line ends are left out."""
-    uni: Counter = Counter()
-    bi: Counter = Counter()
-    lines: Counter = Counter()
-    forms: dict[str, str] = {}
-
-    def flush(copies: int) -> None:
-        for c, t, r, w in ((uni, tables[0], tables[3], UNI), (bi, tables[1], tables[4], BI), (lines, tables[2], None, LINES)):
-            for key, n in c.items():
-                for slot in set(_slots(key, w)):
-                    t[slot] += n
-                    if r is not None:
-                        r[slot] += n * copies
-            c.clear()
-
-    last = 1
-    for text, copies in sorted(rows, key=lambda x: x[1]):
-        if copies != last:
-            flush(last)
-            last = copies
-        prev, broken = "", False
+    """Add ``(text, copies)`` to the tables of texts (words, pairs, lines, beginnings) and of rows (words, pairs, beginnings). Pieces of words at hyphenated line ends are left out."""
+    words, seen, held, copies = _Words(), Counter(), [], []
+    lines = tables[2]
+
+    def both(table: np.ndarray, more: np.ndarray, h: np.ndarray, n: np.ndarray | None, m: np.ndarray | None) -> None:
+        i, j = _slots(h, np.uint64(len(table)))
+        for at, k in ((i, None), (j, i != j)):
+            at = (at if k is None else at[k]).astype(np.int64)
+            once, every = (x if k is None or x is None else x[k] for x in (n, m))
+            got = np.bincount(at, weights=once, minlength=len(table)).astype(np.uint64)
+            table += got
+            more += got if every is once else np.bincount(at, weights=every, minlength=len(table)).astype(np.uint64)
+
+    def flush() -> None:
+        if held:
+            ids = np.concatenate(held)
+            h = np.array(words.hash, dtype=np.uint64)
+            n = np.bincount(ids, minlength=len(h)).astype(np.float64)
+            n[0] = 0
+            m, every = n, None
+            if max(copies) > 1:
+                every = np.repeat(np.array(copies, dtype=np.float64), [len(x) for x in held])
+                m = np.bincount(ids, weights=every, minlength=len(h))
+                m[0] = 0
+            with np.errstate(over="ignore"):
+                both(tables[0], tables[4], h, n, m)
+                a, b = ids[:-1], ids[1:]
+                go = (a > 0) & (b > 0)
+                both(tables[1], tables[5], _mixed(h[a[go]], h[b[go]]), None, every if every is None else every[1:][go])
+            begin = np.array(words.begin, dtype=np.int64)
+            for k in range(begin.shape[1]):
+                ok = begin[:, k] >= 0
+                np.add.at(tables[3], begin[ok, k], n[ok].astype(np.uint64))
+                np.add.at(tables[6], begin[ok, k], m[ok].astype(np.uint64))
+            held.clear()
+            copies.clear()
+        for key, k in seen.items():
+            for slot in set(_slots(_hash(key), LINES)):
+                lines[slot] += np.uint64(k)
+        seen.clear()
+        if len(words) > 400_000:
+            words.__init__()
+
+    size = 0
+    for text, n in rows:
         for line in text.split("\n"):
             s = line.strip()
-            if s and len(s) < 70 and s[-1] not in ".?!;:,":
-                lines[line_key(s)] += 1
-            toks = s.split()
-            for k, t in enumerate(toks):
-                if broken or (k == len(toks) - 1 and len(t) > 1 and t[-1] in _BREAKS):
-                    broken = k == len(toks) - 1 and t[-1] in _BREAKS
-                    prev = ""
-                    continue
-                w = forms.get(t)
-                if w is None:
-                    w = forms[t] = norm(core(t))
-                uni[w] += 1
-                if prev:
-                    bi[f"{prev} {w}"] += 1
-                prev = w
-        if len(bi) > 400_000 or len(forms) > 400_000:
-            flush(last)
-            forms.clear()
-    flush(last)
+            # only what starts like a header is ever looked up
+            if s and len(s) < 70 and s[-1] not in ".?!;:," and not s[0].islower():
+                seen[line_key(s)] += 1
+        tokens = (_BROKEN.sub(f"{GAP} {GAP} ", text) if any(x in text for x in _BREAKS) else text).split()
+        held.append(np.array([0, *map(words.__getitem__, tokens)], dtype=np.int64))
+        copies.append(n)
+        size += len(tokens)
+        if size > 2_000_000 or len(words) > 400_000 or len(seen) > 400_000:
+            flush()
+            size = 0
+    flush()
 
 
 def fit_counts(df: DataFrame, text_col: str = "text") -> list[np.ndarray]:
-    """Counts over the distinct texts (the copies of a chunk make no misread word of it a known one), then words and pairs over all rows."""
-    return corpus_counts(distinct_texts(df, text_col), ["text", "n"], [UNI, BI, LINES, UNI, BI], count_feed)
+    """Counts over the distinct texts (the copies of a chunk make no misread word of it a known one), then words, pairs and beginnings over all rows."""
+    return corpus_counts(distinct_texts(df, text_col), ["text", "n"], [UNI, BI, LINES, PRE, UNI, BI, PRE], count_feed)
 
 
 def _aligned(noisy: str, proof: str) -> Iterator[tuple[str, str]]:
@@ -174,7 +252,7 @@ def fit_confusions(chunks: DataFrame, proofs: DataFrame, id_col: str = "id", tex
         yield pd.DataFrame([(p, r, n) for (p, r), n in c.items()], columns=["p", "r", "n"])
 
     seen: Counter = Counter({(p, r): PRIOR for p, r in CONFUSIONS})
-    for r in both.mapInPandas(run, "p string, r string, n long").groupBy("p", "r").agg(F.sum("n").alias("n")).where("n >= 2").collect():
+    for r in both.mapInPandas(run, "p string, r string, n long").groupBy("p", "r").agg(F.sum("n").alias("n")).collect():
         seen[r["p"], r["r"]] += r["n"]
     total = sum(seen.values())
     return {(r, p): math.log(n / total) + MISREAD for (p, r), n in seen.items()}
@@ -187,91 +265,116 @@ LEAST = 4
 RARE, FAR = 5e-5, 20
 #: How many times the expected number of misreadings a word may occur and still be one.
 NOISE = 4.0
-
-
 FLOOR = -16.5
-#: Longer tokens are keys, addresses or numbers in hexadecimal, not words.
-LONGEST = 32
 
 
-def candidates(word: str, confusions: dict[str, list[tuple[str, float]]], counts: Counts, edits: int = 2) -> dict[str, float]:
-    """Corpus words that could have been read as ``word``, with the log-probability of the misreading (``FLOOR`` at least)."""
-    kept = counts.found.get(word)
-    if kept is not None:
-        return kept
-    out: dict[str, float] = {}
+def candidates(word: str, confusions: dict[str, list[tuple[str, float]]], models: list[Counts], edits: int = 2) -> list[dict[str, float]]:
+    """For each model the corpus words that could have been read as ``word``, with the log-probability of the misreading (``FLOOR`` at least).
+
+    The word is rewritten from left to right; what begins as too few corpus words do is not followed, which
+    loses no candidate and makes the search short, however long the word.
+    """
     # a name may be rare and right: what replaces a capitalised word must be common, and always far more common than it
-    floor = max(LEAST * (5 if word[:1].isupper() else 1), FAR * (counts.word(norm(word)) - 1))
-    level = {word: 0.0}
-    for _ in range(edits):
-        nxt: dict[str, float] = {}
-        for w, lp in level.items():
-            for i in range(len(w)):
-                for n in (1, 2):
-                    for printed, p in confusions.get(w[i : i + n], ()) if i + n <= len(w) else ():
-                        if lp + p >= FLOOR:
-                            v = w[:i] + printed + w[i + n :]
-                            if v != word and lp + p > nxt.get(v, -99.0):
-                                nxt[v] = lp + p
-        for v, lp in nxt.items():
-            if counts.word(norm(v)) >= floor and lp > out.get(v, -99.0) and (counts.texts is None or counts.texts.word(norm(v)) >= counts.texts.word(norm(word))):
-                out[v] = lp
-        if out:
-            break
-        level = nxt
-    if len(counts.found) > 200_000:
-        counts.found.clear()
-    counts.found[word] = out
+    usual = 5 if word[:1].isupper() else 1
+    own = norm(word)
+    floors = [(c, max(c.least * usual, FAR * (c.word(own) - 1))) for c in models]
+    out: list[dict[str, float]] = [{} for _ in models]
+    n = len(word)
+    todo = [(0, "", "", 0.0, 0)]
+    while todo:
+        i, v, p, lp, e = todo.pop()
+        if i >= n:
+            if e and v != word:
+                for (c, floor), found in zip(floors, out):
+                    if lp > found.get(v, -99.0) and c.word(p) >= floor:
+                        found[v] = lp
+            continue
+        step = [(i + 1, word[i], lp, e)]
+        if e < edits:
+            for k in (1, 2):
+                if i + k <= n:
+                    step += [(i + k, printed, lp + q, e + 1) for printed, q in confusions.get(word[i : i + k], ()) if lp + q >= FLOOR]
+        for at, piece, total, done in step:
+            form = p
+            for ch in piece:  # the counted form grows with the word
+                form = form + ch.lower() if not ch.isdigit() else form if form[-1:] == "0" else form + "0"
+            if form == p or len(form) not in _BEGIN or any(c.begins(form) >= floor for c, floor in floors):
+                todo.append((at, v + piece, form, total, done))
     return out
 
 
-def _suspicious(w: str, counts: Counts) -> bool:
-    return 2 < len(w) <= LONGEST and sum(x.isdigit() for x in w) * 2 <= len(w) and any(x.isalpha() or x in "|$@+" for x in w) and counts.word(norm(w)) < max(LEAST, RARE * counts.total)
+def _wordlike(w: str) -> bool:
+    return 2 < len(w) and sum(x.isdigit() for x in w) * 2 <= len(w) and any(x.isalpha() or x in "|$@+" for x in w)
+
+
+def _rare(w: str, counts: Counts) -> bool:
+    return counts.word(norm(w)) < max(counts.least, RARE * counts.total)
+
+
+def odd_ones(tokens: Iterable[str], confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> bool:
+    """Whether a token may be misread; every distinct token is looked at once and then known."""
+    found = False
+    for t in set(tokens) - counts.fine:
+        if t not in counts.odd:
+            parts = _CORE.match(t).groups()
+            w = parts[1]
+            models = [c for c in (counts, counts.rows) if c is not None and _rare(w, c)] if _wordlike(w) else []
+            could = dict(zip(map(id, models), candidates(w, confusions, models))) if models else {}
+            first, second = could.get(id(counts), {}), could.get(id(counts.rows), {})
+            # the rows have a say only where the texts do not speak against it
+            second = {v: lp for v, lp in second.items() if counts.word(norm(v)) >= counts.word(norm(w))}
+            if not first and not second:
+                if len(counts.fine) > 500_000:
+                    counts.fine.clear()
+                counts.fine.add(t)
+                continue
+            if len(counts.odd) > 200_000:
+                counts.odd.clear()
+            counts.odd[t] = parts, first, second
+        found = True
+    return found
 
 
 def decode_line(tokens: list[str], confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> tuple[list[str], int]:
-    """The most likely words of a line and how many were misread: by the distinct texts, then by all rows where the texts do not speak against it."""
-    words, n = _decode(tokens, confusions, counts)
-    if counts.rows is None:
-        return words, n
-    words, m = _decode(words, confusions, counts.rows)
-    return words, n + m
-
-
-def _decode(tokens: list[str], confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> tuple[list[str], int]:
-    seen = counts.tokens
-    odd = []
-    for t in tokens:
-        o = seen.get(t)
-        if o is None:
-            if len(seen) > 300_000:
-                seen.clear()
-            o = seen[t] = _suspicious(core(t), counts)
-        odd.append(o)
-    if not any(odd):
+    """The most likely words of a line and how many were misread: Viterbi over the candidates of its odd words, by the distinct texts and then by all rows."""
+    if not odd_ones(tokens, confusions, counts):
         return tokens, 0
-    parts = [_CORE.match(t).groups() for t in tokens]
-    if not any(o and candidates(p[1], confusions, counts) for o, p in zip(odd, parts)):
-        return tokens, 0
-    states: list[list[tuple[str, float]]] = []
-    for (_, w, _), o in zip(parts, odd):
-        own = [(w, math.log(0.98))]
-        if o:
-            own += list(candidates(w, confusions, counts).items())
-        states.append(own)
-    best = [(0.0, [])]
-    prev = [""]
+    known = [counts.odd.get(t) or (_CORE.match(t).groups(), {}, {}) for t in tokens]
+    words = read = [p[1] for p, _, _ in known]
+    for k, model in enumerate((counts, counts.rows)):
+        could = [x[1 + k] if w == r else {} for x, w, r in zip(known, words, read)]
+        if model is not None and any(could):
+            words = viterbi([[(w, math.log(0.98)), *c.items()] for w, c in zip(words, could)], model)
+    return [p[0] + w + p[2] for (p, _, _), w in zip(known, words)], sum(w != r for w, r in zip(words, read))
+
+
+def viterbi(states: list[list[tuple[str, float]]], counts: Counts, before: str = "") -> list[str]:
+    """The best path through ``(word, log-probability of the channel)`` choices; the first choice is the word as read."""
+    best, prev = [(0.0, [])], [norm(before)]
     for own in states:
-        step = []
+        step, names = [], []
         for v, lp in own:
             n = norm(v)
             # what the misreadings of its candidates explain is no evidence for the word as it stands
             read = 1 + NOISE * sum(counts.word(norm(c)) * math.exp(p) for c, p in own[1:]) if len(own) > 1 and v == own[0][0] else 0
-            step.append(max(((s + counts.log(norm(q), n, read) + lp, path + [v]) for (s, path), q in zip(best, prev)), key=lambda x: x[0]))
-        best, prev = step, [v for v, _ in own]
-    words = max(best, key=lambda x: x[0])[1]
-    fixed = sum(v != p[1] for v, p in zip(words, parts))
-    return [a + v + c for (a, _, c), v in zip(parts, words)], fixed
+            step.append(max(((s + counts.log(q, n, read) + lp, path + [v]) for (s, path), q in zip(best, prev)), key=lambda x: x[0]))
+            names.append(n)
+        best, prev = step, names
+    return max(best, key=lambda x: x[0])[1]
+
+
+def joined(head: str, tail: str, before: str, confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> tuple[str, int, int]:
+    """``(word, joined, misread)`` of a word broken as ``head-`` and ``tail``: the likelier of the whole word, a reading of it, and the compound.
+
+    The compound counts as likely as itself or as its two parts after each other, the whole word as itself.
+    """
+    whole, kept = head + tail, f"{head}-{tail}"
+    (fixed,), n = decode_line([whole], confusions, counts)
+    p = lambda w: math.log((counts.word(norm(core(w))) + 0.01) / counts.total)
+    compound = max(p(kept), p(head.rsplit("-", 1)[-1]) + p(tail))
+    if max(p(fixed), p(whole)) >= compound:
+        return fixed, 1, n
+    return kept, 0, 0
 
 
 _AUTHOR_HEAD = re.compile(r"[^\W\d_][\w'’|$@-]+(?: [A-Z]\.)*,? et al\.?", re.I)
@@ -287,6 +390,9 @@ def _loose(a: str, b: str, counts: Counts) -> bool:
 def _header(line: str, before: str, after: str, gap: bool, confusions: dict, counts: Counts) -> bool:
     """Whether a line is a running header: it has a header's form, or it interrupts a sentence."""
     s = line.strip()
+    # neither a number at an end nor a capital at the start, or the end of a sentence: no form of a header
+    if not s[0].isdigit() and not s[-1].isdigit() and (s[0].islower() or s[-1] in "?!;:," or s[-1] == "." and s[-3:].lower() != "al."):
+        return False
     bare = _EDGE.sub("", s).strip()
     letters = [x for x in bare if x.isalpha() or x in "|$@"]
     if not 3 < len(s) < 90 or len(letters) < 4 or "\t" in s:
@@ -323,9 +429,10 @@ def _header(line: str, before: str, after: str, gap: bool, confusions: dict, cou
 def repair(text: str, confusions: dict[str, list[tuple[str, float]]], counts: Counts) -> tuple[str, int, int, int]:
     """``(paragraphs, words joined, words corrected, header and page lines removed)``."""
     raw = text.split("\n")
+    odd = odd_ones(text.split(), confusions, counts)
     keep: list[str] = []
-    joined = fixed = 0
-    lines = [x for x in raw if not _PAGE.fullmatch(x) or not x.strip()]
+    n_joined = fixed = 0
+    lines = [x for x in raw if not x.strip() or len(x) > 40 or not _PAGE.fullmatch(x)] if len(raw) > 1 else raw
     removed = len(raw) - len(lines)
     for k, line in enumerate(lines):
         if line.strip():
@@ -350,35 +457,33 @@ def repair(text: str, confusions: dict[str, list[tuple[str, float]]], counts: Co
             close()
             paragraphs.append("")
             continue
-        if _STRUCT.search(line) or _SECTION.match(line) and len(s) < 70:
+        if _STRUCT.search(line) or len(s) < 70 and _SECTION.match(line):
             close()
             paragraphs.append(line)
             continue
-        tokens, n = decode_line(s.split(), confusions, counts)
-        if current:
-            last, rest = current[-1].rsplit(" ", 1) if " " in current[-1] else ("", current[-1])
+        tokens = s.split()
+        if odd:
+            tokens, n = decode_line(tokens, confusions, counts)
+            fixed += n
+        if current and current[-1][-1] in _BREAKS:
+            last, _, rest = current[-1].rpartition(" ")
             head = rest[:-1]
-            if rest[-1:] in _BREAKS and head and head[-1].isalpha() and tokens[0][:1].isalpha() and tokens[0][:1].islower() or rest[-1:] in "­¬" and head:
-                whole, kept = head + tokens[0], f"{head}-{tokens[0]}"
-                cw, ck = counts.word(norm(core(whole))), counts.word(norm(core(kept)))
-                parts_known = counts.word(norm(core(head.split("-")[-1]))) >= LEAST and counts.word(norm(core(tokens[0]))) >= LEAST
-                if rest[-1] in "­¬" or cw > ck or (cw == ck and not parts_known):
-                    joined += 1
-                    merged = whole
-                    (merged,), m = decode_line([merged], confusions, counts)
-                    n += m
+            if head and (rest[-1] in "­¬" or head[-1].isalpha() and tokens[0][:1].isalpha() and tokens[0][:1].islower()):
+                if rest[-1] in "­¬":
+                    (merged,), m = decode_line([head + tokens[0]], confusions, counts)
+                    j = 1
                 else:
-                    merged = kept
+                    merged, j, m = joined(head, tokens[0], last, confusions, counts)
+                n_joined += j
+                fixed += m
                 current[-1] = f"{last} {merged}" if last else merged
                 if tokens[1:]:
                     current.append(" ".join(tokens[1:]))
-                fixed += n
                 continue
-        fixed += n
         current.append(" ".join(tokens))
     close()
     out = re.sub(r"\n{3,}", "\n\n", "\n".join(paragraphs)).strip("\n")
-    return out, joined, fixed, removed
+    return out, n_joined, fixed, removed
 
 
 def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -387,8 +492,9 @@ def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id"
     ``text`` is the repaired text as paragraphs; the counts are the words joined over a line end, the
     words corrected and the header and page number lines removed: 0, 0, 0 for a clean row. Null texts
     give no row, an empty text an empty one; repeated rows are repaired each for itself; other columns
-    are ignored. Words, pairs and lines are counted over the distinct texts, words and pairs also over
-    all rows, into tables of fixed size (26 MB) that are broadcast; the repair is a narrow map over all rows.
+    are ignored. Words, pairs and beginnings of words are counted over the distinct texts and over all rows,
+    lines over the texts, into tables of fixed size (34 MB) that are broadcast; the repair is a narrow map over all rows, whose work beyond
+    splitting is done once for every distinct token of a task.
     """
     spark = chunks.sparkSession
     model = fit_confusions(chunks, proofs, id_col, text_col) if proofs is not None else {(r, p): math.log(1 / len(CONFUSIONS)) + MISREAD for p, r in CONFUSIONS}
@@ -401,9 +507,7 @@ def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         confusions, tables = shared.value
-        counts = Counts(tables[:3])
-        counts.rows = Counts([*tables[3:], tables[2]])
-        counts.rows.texts = counts
+        counts = Counts(tables[:4], Counts([tables[4], tables[5], tables[2], tables[6]]))
         for b in batches:
             out = [(i, *repair(t, confusions, counts)) for i, t in zip(b["chunk_id"], b["text"])]
             yield pd.DataFrame(out, columns=["chunk_id", "text", "n_joined", "n_misread", "n_removed"])
