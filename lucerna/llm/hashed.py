@@ -16,16 +16,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.runtime import cut
+
 SLICES = 32
 #: Tables of partitions that are added in one task.
 FAN_IN = 64
 _TOP = np.uint64(2**32 - 1)
 
 
-def corpus_counts(df: DataFrame, cols: list[str], widths: list[int], feed: Callable[[list[np.ndarray], Iterable[tuple]], None]) -> list[np.ndarray]:
-    """Counter tables over all rows of ``df``.
+def corpus_counts(df: DataFrame, cols: list[str], widths: list[int], feed: Callable[[list[np.ndarray], Iterable[tuple]], list[str] | None], keep: Callable[[list[np.ndarray]], Callable[[str], bool]] | None = None) -> list[np.ndarray] | tuple[list[np.ndarray], list[str]]:
+    """Counter tables over all rows of ``df``; with ``keep`` also the frequent words.
 
-    ``feed(tables, rows)`` adds the rows of a batch to the partition's tables (uint64, one per width). Each
+    ``feed(tables, rows)`` adds the rows of a partition to its tables (uint64, one per width) and may return
+    the partition's own frequent words. ``keep(tables)`` makes the test by the tables of the whole corpus that
+    bounds them; it runs on the executors, so only words that pass it are sent, each once. Each
     partition sends its tables once, compressed and cut into slices. Slices are added in a tree: ``FAN_IN``
     neighbouring partitions a task, then as many of their sums, so no task holds more than ``FAN_IN``
     slices whatever the number of partitions. Sums stop at 2³²-1. An empty input gives zero tables.
@@ -41,8 +45,9 @@ def corpus_counts(df: DataFrame, cols: list[str], widths: list[int], feed: Calla
 
         flat = np.zeros(int(ends[-1]), dtype=np.uint64)
         tables = [flat[ends[i] : ends[i + 1]] for i in range(len(widths))]
-        feed(tables, (row for b in batches for row in zip(*[b[c] for c in cols])))
-        rows = [(i, TaskContext.get().partitionId(), pack(flat[cuts[i] : cuts[i + 1]])) for i in range(SLICES) if flat[cuts[i] : cuts[i + 1]].any()]
+        words = feed(tables, (row for b in batches for row in zip(*[b[c] for c in cols])))
+        rows = [] if words is None else [(-1, TaskContext.get().partitionId(), zlib.compress("\n".join(words).encode(), 1))]
+        rows += [(i, TaskContext.get().partitionId(), pack(flat[cuts[i] : cuts[i + 1]])) for i in range(SLICES) if flat[cuts[i] : cuts[i + 1]].any()]
         yield pd.DataFrame(rows, columns=["slice", "part", "data"])
 
     def add(b: pd.DataFrame) -> pd.DataFrame:
@@ -53,13 +58,27 @@ def corpus_counts(df: DataFrame, cols: list[str], widths: list[int], feed: Calla
         return pd.DataFrame([(int(b["slice"].iloc[0]), int(b["part"].iloc[0]) // FAN_IN, pack(total))], columns=["slice", "part", "data"])
 
     kind = "slice int, part int, data binary"
-    sums = df.select(*cols).mapInPandas(local, kind)
+    parts = df.select(*cols).mapInPandas(local, kind)
+    if keep:
+        parts = cut(parts)  # one pass over the texts gives tables and words
+    sums = parts.where("slice >= 0")
     for _ in range(max(1, math.ceil(math.log(most_partitions(df), FAN_IN)))):
         sums = sums.groupBy("slice", F.floor(F.col("part") / FAN_IN)).applyInPandas(add, kind)
     flat = np.zeros(int(ends[-1]), dtype=np.uint32)
     for r in sums.collect():  # SLICES rows, of fixed total size
         flat[cuts[r["slice"]] : cuts[r["slice"] + 1]] = np.frombuffer(zlib.decompress(bytes(r["data"])), dtype=np.uint32)
-    return [flat[ends[i] : ends[i + 1]] for i in range(len(widths))]
+    tables = [flat[ends[i] : ends[i + 1]] for i in range(len(widths))]
+    if not keep:
+        return tables
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        good = keep(shared.value)
+        for b in batches:
+            for data in b["data"]:
+                yield pd.DataFrame({"word": [w for w in zlib.decompress(data).decode().split("\n") if w and good(w)]}, dtype=object)
+
+    return tables, [r["word"] for r in parts.where("slice < 0").select("data").mapInPandas(pick, "word string").distinct().collect()]
 
 
 def most_partitions(df: DataFrame) -> int:

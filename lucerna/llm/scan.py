@@ -8,6 +8,7 @@ running header that interrupts a sentence.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import math
 import re
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 
 from lucerna.llm.hashed import corpus_counts, distinct_texts, noise
 
-UNI, BI, LINES, PRE = 1 << 20, 1 << 21, 1 << 19, 1 << 20
-#: Lengths of the counted beginnings of words.
-BEGIN = (3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48)
-_BEGIN = frozenset(BEGIN)
+UNI, BI, LINES = 1 << 20, 1 << 21, 1 << 19
+#: Share of all words that a candidate has at least; so many words (its inverse) can be candidates at most.
+SHARE = 1e-6
 GAP = "\0"
 #: Fixed values: (printed, as misread) segments known from optical character recognition, with a prior count.
 CONFUSIONS = [(a, b) for a, b in (p.split(">") for p in "rn>m m>rn l>1 1>l i>1 i>l l>i l>| i>| I>| 1>| I>l l>I o>0 0>o O>0 0>O s>5 5>s S>5 5>S s>$ S>$ e>c c>e a>@ a>o o>a B>8 8>B g>9 9>g q>9 z>2 2>z Z>2 b>6 6>b b>h h>b cl>d d>cl vv>w w>vv li>h ii>n n>ii u>ii u>n n>u f>t t>f fi>h ti>h ri>n in>m ni>m nn>m E>F F>E G>6 t>+ e>o n>h h>n y>v v>y D>O Q>O A>4 T>7".split())]
@@ -61,22 +61,26 @@ def _mixed(a, b):
 
 
 class Counts:
-    """Two-way hashed counts of words, word pairs and stand-alone lines, and one-way counts of the beginnings of words.
+    """Two-way hashed counts of words, word pairs and stand-alone lines, and the words that may be candidates.
 
     An estimate is the smaller of two slots less what chance adds to a slot (``noise``), and at least 0.
     """
 
-    def __init__(self, tables: list[np.ndarray], rows: Counts | None = None):
+    def __init__(self, tables: list[np.ndarray], rows: Counts | None = None, frequent: list[str] | None = None):
         #: Counts over all rows, beside these over the distinct texts.
         self.rows = rows
         self.noise = [noise(t) for t in tables]
         self.total = max(1.0, float(tables[0].sum(dtype=np.float64)) / 2)
-        self.uni, self.bi, self.lines, *pre = (memoryview(np.ascontiguousarray(t)) for t in tables)
-        self.pre = pre[0] if pre else None
-        self.least = LEAST + 4 * math.sqrt(self.noise[0])
+        self.uni, self.bi, self.lines = (memoryview(np.ascontiguousarray(t)) for t in tables)
+        self.least = max(LEAST + 4 * math.sqrt(self.noise[0]), SHARE * self.total)
         self.hashes: dict[str, int] = {}
         self.cache: dict[str, float] = {}
-        self.begun: dict[str, float] = {}
+        #: Sorted candidates of small and of capitalised words; without a list any beginning is followed.
+        self.frequent = None
+        if frequent is not None:
+            both = [c for c in (self, rows) if c is not None]
+            self.frequent = [sorted(w for w in frequent if any(c.word(w) >= c.least * k for c in both)) for k in (1, CAPITAL)]
+        self.begun: list[dict[str, bool]] = [{}, {}]
         #: Tokens that stay as they are; the parts of the others and their candidates by texts and by rows.
         self.fine: set[str] = set()
         self.odd: dict[str, tuple[tuple[str, str, str], dict[str, float], dict[str, float]]] = {}
@@ -101,14 +105,20 @@ class Counts:
             self.cache[w] = n
         return n
 
-    def begins(self, prefix: str) -> float:
-        """At least how many words begin with ``prefix`` (of ``BEGIN`` letters)."""
-        n = self.begun.get(prefix)
-        if n is None:
-            if len(self.begun) > 300_000:
-                self.begun.clear()
-            n = self.begun[prefix] = self.pre[_hash("^" + prefix) % PRE] if self.pre is not None else math.inf
-        return n
+    def begins(self, prefix: str, capital: bool) -> bool:
+        """Whether a possible candidate begins with ``prefix``."""
+        seen = self.begun[capital]
+        ok = seen.get(prefix)
+        if ok is None:
+            if len(seen) > 300_000:
+                seen.clear()
+            ok = True
+            if self.frequent is not None:
+                words = self.frequent[capital]
+                i = bisect.bisect_left(words, prefix)
+                ok = i < len(words) and words[i].startswith(prefix)
+            seen[prefix] = ok
+        return ok
 
     def pair(self, a: str, b: str) -> float:
         i, j = _slots(_mixed(self.hash(a), self.hash(b)), BI)
@@ -134,13 +144,12 @@ def core(token: str) -> str:
 
 
 class _Words(dict):
-    """Token → number of its counted form; 0 is a gap. Hashes and beginnings of each form are kept beside it."""
+    """Token → number of its counted form; 0 is a gap. The hash of each form is kept beside it."""
 
     def __init__(self) -> None:
         super().__init__({GAP: 0})
         self.forms: dict[str, int] = {GAP: 0}
         self.hash: list[int] = [0]
-        self.begin: list[list[int]] = [[-1] * len(BEGIN)]
 
     def __missing__(self, token: str) -> int:
         w = GAP if token.endswith(GAP) else norm(core(token))
@@ -148,14 +157,17 @@ class _Words(dict):
         if i is None:
             i = self.forms[w] = len(self.forms)
             self.hash.append(_hash(w))
-            self.begin.append([_hash("^" + w[:k]) % PRE if len(w) >= k else -1 for k in BEGIN])
         self[token] = i
         return i
 
 
-def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
-    """Add ``(text, copies)`` to the tables of texts (words, pairs, lines, beginnings) and of rows (words, pairs, beginnings). Pieces of words at hyphenated line ends are left out."""
+def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> list[str]:
+    """Add ``(text, copies)`` to the tables of texts (words, pairs, lines) and of rows (words, pairs). Pieces of words at hyphenated line ends are left out.
+
+    Returns the words that have a share of ``SHARE`` here: one that has it in the corpus has it in some partition.
+    """
     words, seen, held, copies = _Words(), Counter(), [], []
+    often: dict[str, tuple[float, float]] = {}
     lines = tables[2]
 
     def both(table: np.ndarray, more: np.ndarray, h: np.ndarray, n: np.ndarray | None, m: np.ndarray | None) -> None:
@@ -179,15 +191,14 @@ def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
                 m = np.bincount(ids, weights=every, minlength=len(h))
                 m[0] = 0
             with np.errstate(over="ignore"):
-                both(tables[0], tables[4], h, n, m)
+                both(tables[0], tables[3], h, n, m)
                 a, b = ids[:-1], ids[1:]
                 go = (a > 0) & (b > 0)
-                both(tables[1], tables[5], _mixed(h[a[go]], h[b[go]]), None, every if every is None else every[1:][go])
-            begin = np.array(words.begin, dtype=np.int64)
-            for k in range(begin.shape[1]):
-                ok = begin[:, k] >= 0
-                np.add.at(tables[3], begin[ok, k], n[ok].astype(np.uint64))
-                np.add.at(tables[6], begin[ok, k], m[ok].astype(np.uint64))
+                both(tables[1], tables[4], _mixed(h[a[go]], h[b[go]]), None, every if every is None else every[1:][go])
+            for w, x, y in zip(words.forms, n.tolist(), m.tolist()):
+                if x:
+                    a, b = often.get(w, (0.0, 0.0))
+                    often[w] = a + x, b + y
             held.clear()
             copies.clear()
         for key, k in seen.items():
@@ -212,11 +223,23 @@ def count_feed(tables: list[np.ndarray], rows: Iterable[tuple]) -> None:
             flush()
             size = 0
     flush()
+    once, every = (SHARE * sum(x[k] for x in often.values()) for k in (0, 1))
+    return [w for w, (x, y) in often.items() if x >= once or y >= every]
+
+
+def fit_counts(df: DataFrame, text_col: str = "text") -> tuple[list[np.ndarray], list[str]]:
+    """Counts over the distinct texts (the copies of a chunk make no misread word of it a known one), then words and pairs over all rows; and the words that may be candidates."""
+
+    def keep(tables: list[np.ndarray]):
+        counts = counts_of(tables, None)
+        return lambda w: counts.word(w) >= counts.least or counts.rows.word(w) >= counts.rows.least
+
+    return corpus_counts(distinct_texts(df, text_col), ["text", "n"], [UNI, BI, LINES, UNI, BI], count_feed, keep)
 
 
-def fit_counts(df: DataFrame, text_col: str = "text") -> list[np.ndarray]:
-    """Counts over the distinct texts (the copies of a chunk make no misread word of it a known one), then words, pairs and beginnings over all rows."""
-    return corpus_counts(distinct_texts(df, text_col), ["text", "n"], [UNI, BI, LINES, PRE, UNI, BI, PRE], count_feed)
+def counts_of(tables: list[np.ndarray], frequent: list[str] | None) -> Counts:
+    """The counts of ``fit_counts`` in use."""
+    return Counts(tables[:3], Counts([tables[3], tables[4], tables[2]]), frequent)
 
 
 def _aligned(noisy: str, proof: str) -> Iterator[tuple[str, str]]:
@@ -266,16 +289,19 @@ RARE, FAR = 5e-5, 20
 #: How many times the expected number of misreadings a word may occur and still be one.
 NOISE = 4.0
 FLOOR = -16.5
+#: How many times as frequent as others the candidates of a capitalised word must be: a name may be rare and right.
+CAPITAL = 5
 
 
-def candidates(word: str, confusions: dict[str, list[tuple[str, float]]], models: list[Counts], edits: int = 2) -> list[dict[str, float]]:
+def candidates(word: str, confusions: dict[str, list[tuple[str, float]]], models: list[Counts], counts: Counts, edits: int = 2) -> list[dict[str, float]]:
     """For each model the corpus words that could have been read as ``word``, with the log-probability of the misreading (``FLOOR`` at least).
 
-    The word is rewritten from left to right; what begins as too few corpus words do is not followed, which
-    loses no candidate and makes the search short, however long the word.
+    The word is rewritten from left to right; what begins as no possible candidate does is not followed, which
+    loses none and makes the search short, however long the word.
     """
-    # a name may be rare and right: what replaces a capitalised word must be common, and always far more common than it
-    usual = 5 if word[:1].isupper() else 1
+    # what replaces a word must always be far more common than it
+    capital = word[:1].isupper()
+    usual = CAPITAL if capital else 1
     own = norm(word)
     floors = [(c, max(c.least * usual, FAR * (c.word(own) - 1))) for c in models]
     out: list[dict[str, float]] = [{} for _ in models]
@@ -298,7 +324,7 @@ def candidates(word: str, confusions: dict[str, list[tuple[str, float]]], models
             form = p
             for ch in piece:  # the counted form grows with the word
                 form = form + ch.lower() if not ch.isdigit() else form if form[-1:] == "0" else form + "0"
-            if form == p or len(form) not in _BEGIN or any(c.begins(form) >= floor for c, floor in floors):
+            if form == p or len(form) < 3 or counts.begins(form, capital):
                 todo.append((at, v + piece, form, total, done))
     return out
 
@@ -319,7 +345,7 @@ def odd_ones(tokens: Iterable[str], confusions: dict[str, list[tuple[str, float]
             parts = _CORE.match(t).groups()
             w = parts[1]
             models = [c for c in (counts, counts.rows) if c is not None and _rare(w, c)] if _wordlike(w) else []
-            could = dict(zip(map(id, models), candidates(w, confusions, models))) if models else {}
+            could = dict(zip(map(id, models), candidates(w, confusions, models, counts))) if models else {}
             first, second = could.get(id(counts), {}), could.get(id(counts.rows), {})
             # the rows have a say only where the texts do not speak against it
             second = {v: lp for v, lp in second.items() if counts.word(norm(v)) >= counts.word(norm(w))}
@@ -492,8 +518,8 @@ def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id"
     ``text`` is the repaired text as paragraphs; the counts are the words joined over a line end, the
     words corrected and the header and page number lines removed: 0, 0, 0 for a clean row. Null texts
     give no row, an empty text an empty one; repeated rows are repaired each for itself; other columns
-    are ignored. Words, pairs and beginnings of words are counted over the distinct texts and over all rows,
-    lines over the texts, into tables of fixed size (34 MB) that are broadcast; the repair is a narrow map over all rows, whose work beyond
+    are ignored. Words and pairs are counted over the distinct texts and over all rows, lines over the texts,
+    into tables of fixed size (26 MB) that are broadcast with the words of a share of ``SHARE``; the repair is a narrow map over all rows, whose work beyond
     splitting is done once for every distinct token of a task.
     """
     spark = chunks.sparkSession
@@ -501,13 +527,13 @@ def repair_scans(chunks: DataFrame, proofs: DataFrame | None, id_col: str = "id"
     by_read: dict[str, list[tuple[str, float]]] = {}
     for (read, printed), lp in model.items():
         by_read.setdefault(read, []).append((printed, lp))
-    shared = spark.sparkContext.broadcast((by_read, fit_counts(chunks, text_col)))
+    shared = spark.sparkContext.broadcast((by_read, *fit_counts(chunks, text_col)))
     rows = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     kind = rows.schema["chunk_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        confusions, tables = shared.value
-        counts = Counts(tables[:4], Counts([tables[4], tables[5], tables[2], tables[6]]))
+        confusions, tables, frequent = shared.value
+        counts = counts_of(tables, frequent)
         for b in batches:
             out = [(i, *repair(t, confusions, counts)) for i, t in zip(b["chunk_id"], b["text"])]
             yield pd.DataFrame(out, columns=["chunk_id", "text", "n_joined", "n_misread", "n_removed"])
