@@ -55,19 +55,6 @@ def duplicate_groups(df: DataFrame, id_col: str = "id", keys: dict | None = None
     return connected_components(key_edges(links)).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
-def surviving_rows(df: DataFrame, id_col: str = "id", updated_col: str = "updated_at", keys: dict | None = None) -> DataFrame:
-    """``(group_id, keep_id)`` of each group of two or more rows.
-
-    The kept row has the most key fields filled, then the latest update (null is oldest), then the
-    smallest id; a repeated id is taken by its best row. One partial aggregation, no group is gathered.
-    """
-    keys = keys or KEYS
-    groups = duplicate_groups(df, id_col, keys)
-    filled = sum((f(F.col(c)).isNotNull().cast("int") for c, f in keys.items()), F.lit(0))
-    rows = df.select(F.col(id_col).alias("id"), F.struct(filled.alias("filled"), F.col(updated_col).alias("at"), (-F.col(id_col)).alias("neg")).alias("rank"))
-    return groups.join(rows, "id").groupBy("group_id").agg(F.max_by("id", "rank").alias("keep_id"))
-
-
 #: Fields taken together, and for each bundle the value that must agree with that of the other bundles.
 BUNDLES = {
     "publication": (["bibcode", "published", "pub_version"], lambda: F.regexp_extract(bibcode_key(F.col("bibcode")), r"^(\d{4})", 1)),
@@ -109,6 +96,41 @@ def choose(options: dict[str, list[tuple[str, float, str]]]) -> tuple[float, dic
     return best
 
 
+def surviving_rows(df: DataFrame, id_col: str = "id", updated_col: str = "updated_at", keys: dict | None = None) -> DataFrame:
+    """``(group_id, keep_id)`` of each group of two or more rows.
+
+    The search of ``choose`` with every key field and the row's date as a bundle and the row itself as the
+    bond: all bundles must come from one row. A filled key is worth 1; the date is worth less than 1, by its
+    rank (latest first, null is oldest, then the smallest id), so the kept row has the most key fields
+    filled, then the latest update, then the smallest id. A repeated id is taken by its best row. Of the rows
+    that fill the same keys only the first in rank can be kept, so at most 2^keys rows a group go to the
+    search, found by a partial aggregation: no group is gathered.
+    """
+    keys = keys or KEYS
+    groups = duplicate_groups(df, id_col, keys)
+    filled = F.concat(*[F.when(f(F.col(c)).isNotNull(), "1").otherwise("0") for c, f in keys.items()])
+    rows = df.select(F.col(id_col).alias("id"), filled.alias("filled"), F.struct(F.col(updated_col).alias("at"), (-F.col(id_col)).alias("neg")).alias("rank"))
+    first = groups.join(rows, "id").groupBy("group_id", "filled").agg(F.max(F.struct("rank", "id")).alias("r"))
+    packed = first.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("r", "filled"))).alias("o"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for g, rows in zip(b["group_id"], b["o"]):
+                options: dict[str, list[tuple[str, float, str]]] = {"dating": []}
+                for k, row in enumerate(rows):  # from the last in rank to the first
+                    options["dating"].append((str(k + 1), (k + 1) / (len(rows) + 1), str(k)))
+                    for name, has in zip(keys, row["filled"]):
+                        if has == "1":
+                            options.setdefault(name, []).append((str(k + 1), 1.0, str(k)))
+                out.append((g, rows[int(choose(options)[1]["dating"])]["r"]["id"]))
+            yield pd.DataFrame(out, columns=["group_id", "keep_id"])
+
+    return packed.select("group_id", F.transform("o", lambda x: F.struct(F.struct(x.r.id.alias("id")).alias("r"), x.filled.alias("filled"))).alias("o")).repartition(tasks, "group_id").mapInPandas(run, f"group_id {kinds['group_id']}, keep_id {kinds['id']}")
+
+
 def golden_records(df: DataFrame, id_col: str = "id", updated_col: str = "updated_at", bundles: dict | None = None, source_trust: dict[str, float] | None = None) -> DataFrame:
     """One built record per duplicate group: ``group_id, trust, bundle, values`` (JSON of the bundle's fields).
 
