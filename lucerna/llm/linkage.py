@@ -215,21 +215,21 @@ def comparisons(refs: DataFrame, cands: DataFrame) -> DataFrame:
     refs, cands = cut(refs), cut(cands)
     r = refs.toDF(*[f"r_{c}" if c != "rk" else c for c in refs.columns])
     c = cands.toDF(*[f"c_{x}" if x != "ck" else x for x in cands.columns])
-    found = None
-    for name, keys in PASSES.items():
-        rk, ck = [F.col(f"r_{k}") for k in keys], [F.col(f"c_{k}") for k in keys]
-        full = lambda cols: F.concat_ws("\u0001", *cols)
-        ok = lambda cols: [x != "" for x in cols]
-        left, right = r.select("rk", full(rk).alias("b"), *[x.alias(f"k{i}") for i, x in enumerate(rk)]), c.select("ck", full(ck).alias("b"), *[x.alias(f"k{i}") for i, x in enumerate(ck)])
-        for i in range(len(keys)):
-            left, right = left.where(F.col(f"k{i}") != ""), right.where(F.col(f"k{i}") != "")
-        left, right = left.select("rk", "b"), right.select("ck", "b")
-        if name in COARSE:
-            sizes = left.groupBy("b").agg(F.count("*").alias("nl")).join(right.groupBy("b").agg(F.count("*").alias("nr")), "b").where(F.col("nl") * F.col("nr") <= LARGEST).select("b")
-            left = left.join(sizes, "b")
-        pairs = left.join(right, "b").select("rk", "ck")
-        found = pairs if found is None else found.unionByName(pairs)
-    both = cut(cut(found.distinct()).unionByName(cut(finer_pairs(r, c))).distinct()).join(r, "rk").join(c, "ck")
+    sides = []
+    for df, p, k in ((r, "r", "rk"), (c, "c", "ck")):
+        passes = []
+        for name, keys in PASSES.items():
+            cols = [F.col(f"{p}_{x}") for x in keys]
+            full = cols[0] != ""
+            for x in cols[1:]:
+                full = full & (x != "")
+            passes.append(F.when(full, F.concat_ws("\u0001", F.lit(("c:" if name in COARSE else "f:") + name), *cols)))
+        sides.append(df.select(k, F.explode(F.array_compact(F.array(*passes))).alias("b")))
+    left, right = sides  # the keys of all passes in one join
+    coarse = lambda x, n: x.where(F.startswith(F.col("b"), F.lit("c:"))).groupBy("b").agg(F.count("*").alias(n))
+    left = left.join(coarse(left, "nl").join(coarse(right, "nr"), "b").where(F.col("nl") * F.col("nr") > LARGEST).select("b"), "b", "left_anti")
+    found = left.join(right, "b").select("rk", "ck").distinct()
+    both = cut(found.unionByName(cut(finer_pairs(r, c))).distinct()).join(r, "rk").join(c, "ck")
     digits = lambda x: F.array_sort(F.split(F.col(x), ""))
     near_digits = lambda a, b: (F.length(a) == F.length(b)) & ((F.length(a) > 1) & (F.levenshtein(F.col(a), F.col(b)) <= 1) | (digits(a) == digits(b))) | (F.length(a) >= 3) & (F.col(a).startswith(F.col(b)) | F.col(b).startswith(F.col(a))) & (F.length(b) >= 3)
     others = lambda p: F.array_except(F.col(f"{p}_people"), F.array(F.col("r_surname"), F.col("c_surname")))
