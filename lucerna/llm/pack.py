@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+#: Rows of one length that one task ranks at most, about; a length has a part for each such number.
+PART = 250_000
 
 
 def token_lengths(df: DataFrame, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
@@ -91,19 +92,19 @@ def fill_containers(lengths: DataFrame, capacity: int, id_col: str = "doc_id", s
     row. ``strategy``: ``shortest`` (shortest pack first), ``best`` (fullest pack that has room), or
     ``auto``: both histograms are packed and the one with fewer containers is used.
 
-    Rank within a length is counted in two levels (salt, then the salts before it), so a length that
-    holds a third of all rows is spread over ``SALTS`` tasks. Histogram, salt counts and patterns are
-    bounded by the capacity, not by the rows.
+    Rank within a length is counted in two levels (part, then the parts before it). A length has a part for
+    every ``PART`` rows of it, so one that holds a third of all rows, such as the full pieces of oversized
+    texts, is spread over as many tasks as it needs. Histogram and patterns are bounded by the capacity, the
+    counts of parts by the capacity and one for every ``PART`` rows.
     """
     kind = lengths.schema[id_col].dataType.simpleString()
     rows = lengths.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("n"))
     whole = rows.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))).alias("piece"), "n")
     items = whole.select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity), F.greatest(F.col("n") - F.col("piece") * capacity, F.lit(0))).cast("int").alias("tokens"))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    cells = items.where("tokens > 0").groupBy("tokens", "salt").count().collect()  # at most capacity * SALTS rows
-    counts: dict[int, int] = {}
-    for r in cells:
-        counts[r["tokens"]] = counts.get(r["tokens"], 0) + r["count"]
+    counts = {r["tokens"]: r["count"] for r in items.where("tokens > 0").groupBy("tokens").count().collect()}  # at most one row a length
+    parts = items.sparkSession.createDataFrame([(0, 1), *((x, n // PART + 1) for x, n in counts.items())], "tokens int, parts int")
+    items = items.join(F.broadcast(parts), "tokens").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("int"))
+    cells = items.where("tokens > 0").groupBy("tokens", "salt").count().collect()
     plans = [pack_histogram(counts, capacity, best) for best in ([False] if strategy == "shortest" else [True] if strategy == "best" else [False, True])]
     plan = min(plans, key=lambda p: sum(n for _, n in p))
     before: dict[tuple[int, int], int] = {}
