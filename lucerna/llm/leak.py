@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, BLOCK = 4, 2
+RUN, BLOCK = 3, 2
 _WORDS = re.compile(r"\w+")
 
 
@@ -40,6 +40,11 @@ class WuManber:
         self.base = len(self.codes) + 1
         self.bits = 20
         self.shift = np.full(1 << self.bits, RUN - BLOCK + 1, dtype=np.int8)
+        #: Items of fewer words than a run, whole: length → codes → items.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        for i, cs in self.items.items():
+            if 0 < len(cs) < RUN:
+                self.short.setdefault(len(cs), {}).setdefault(tuple(cs), []).append(i)
         self.bucket: dict[int, list[tuple[tuple[int, ...], list[tuple[int, int]]]]] = {}
         places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, cs in self.items.items():
@@ -87,6 +92,15 @@ class WuManber:
                         out[item].append((e - RUN + 1, k))
         return out
 
+    def whole(self, code: np.ndarray) -> set[int]:
+        """The items shorter than a run that stand in the text, each compared whole."""
+        out: set[int] = set()
+        for n, items in self.short.items():
+            plain = code.tolist()
+            for at in np.flatnonzero(np.isin(code[: len(code) - n + 1], [k[0] for k in items])).tolist() if len(code) >= n else ():
+                out.update(items.get(tuple(plain[at : at + n]), ()))
+        return out
+
     def passage(self, code: list[int], item: int, seeds: list[tuple[int, int]], need: int, share: float) -> int:
         """Longest run of successive item words (altered ones counted) that the text repeats; 0 where it is below ``need``."""
         mine, best, done = self.items[item], 0, set()
@@ -148,7 +162,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     single altered, added or missing words are stepped over, but ``share`` of the run's weight must match,
     where a word weighs the more the fewer items have it, so runs of shared phrases with other numbers and
     names are no case. Null and empty texts match nothing; each row of repeated documents and items is
-    reported once. The items are the query set: they are taken in blocks of at most ``block_chars``
+    reported once. Every length of item is found: one of fewer words than a run is compared whole. The items are
+    the query set: they are taken in blocks of at most ``block_chars``
     characters (one item more at most), each block a compiled table of that bounded size that is broadcast
     and searched in one narrow pass over all documents, read whole.
     """
@@ -157,21 +172,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     queries = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & (F.length("text") > 0)).distinct()
     kinds = rows.schema["doc_id"].dataType.simpleString(), queries.schema["item_id"].dataType.simpleString()
     schema = f"item_id {kinds[1]}, doc_id {kinds[0]}, words int"
-    blocks: list[dict] = []
-    size = block_chars + 1
-    for r in queries.orderBy("item_id").toLocalIterator():
-        if size > block_chars:
-            blocks.append({})
-            size = 0
-        blocks[-1].setdefault(r["item_id"], []).append(r["text"])
-        size += len(r["text"])
     out = spark.createDataFrame([], schema)
-    for block in blocks:
+    for block in _blocks(queries.orderBy("item_id").toLocalIterator(), block_chars):
         compiled = spark.sparkContext.broadcast(_compile(block))
         out = out.union(rows.mapInPandas(_search(compiled, need, share), schema))
     return out.groupBy("item_id", "doc_id").agg(F.max("words").alias("words"))
 
 
+def _blocks(rows: Iterator, block_chars: int) -> Iterator[dict]:
+    """Items in blocks of at most ``block_chars`` characters (one item more at most); one block is held at a time."""
+    block: dict = {}
+    size = 0
+    for r in rows:
+        block.setdefault(r["item_id"], []).append(r["text"])
+        size += len(r["text"])
+        if size > block_chars:
+            yield block
+            block, size = {}, 0
+    if block:
+        yield block
+
+
 def _compile(block: dict) -> tuple[WuManber, dict[int, object]]:
     texts, owner = {}, {}
     for item, versions in block.items():
@@ -190,9 +211,8 @@ def _search(compiled, need: int, share: float):
             out = []
             for d, text in zip(b["doc_id"], b["text"]):
                 code = machine.encode(words_of(text))
+                out += [(owner[k], d, len(machine.items[k])) for k in machine.whole(code)]
                 found = machine.find(code)
-                if not found:
-                    continue
                 plain = None
                 for k, seeds in found.items():
                     least = min(need, len(machine.items[k]))
