@@ -213,3 +213,47 @@ def test_copies_of_an_error_page_do_not_count_as_prose(spark):
     page = [(1000 + i, f"Please verify that you are a human to continue. Request id {70000 + i}.") for i in range(200)]
     got = {r["doc_id"] for r in residue.find_residue(spark.createDataFrame(prose + page, "doc_id long, text string")).collect()}
     assert got == {i for i, _ in page}
+
+
+def test_short_and_often_altered_items_are_found(spark):
+    words = [f"term{i}" for i in range(40)]
+    altered = " ".join(w if (k + 1) % 4 else "other" for k, w in enumerate(words))
+    docs = spark.createDataFrame([(1, "He said: one small step, and left."), (2, f"before {altered} after"), (3, "one step"), (4, "Small")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "One small step"), (11, " ".join(words)), (12, "one step"), (13, "small")], "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in leak.find_leaks(docs, items).collect()}
+    assert got == {(10, 1), (11, 2), (12, 3), (13, 1), (13, 4)}
+
+
+def test_a_hot_length_is_split(spark, monkeypatch):
+    monkeypatch.setattr(pack, "PART", 10)
+    df = spark.createDataFrame([(i, 700 if i % 3 else 64) for i in range(400)] + [(1000, 9000)], "doc_id long, tokens long")
+    got = pack.fill_containers(df, 2048).toPandas()
+    assert got.groupby("container").tokens.sum().max() <= 2048 and got.tokens.sum() == 9000 + sum(700 if i % 3 else 64 for i in range(400))
+
+
+def test_survivor_ties_and_nulls(spark):
+    rows = [(9, "b1", None, None, None), (4, "b1", "1", None, "2020"), (5, "b1", "1", None, "2020"), (6, "b1", None, "x/y.pdf", "2021"), (7, "z", None, None, None), (8, "z", None, None, None)]
+    df = spark.createDataFrame(rows, "id long, bibcode string, arxiv_id string, pdf_relpath string, updated_at string")
+    assert sorted(map(tuple, survivor.surviving_rows(df).collect())) == [(4, 6), (7, 7)]
+
+
+def test_counts_of_many_partitions_are_added_in_a_tree(spark, monkeypatch):
+    from lucerna.llm import hashed
+
+    monkeypatch.setattr(hashed, "FAN_IN", 2)
+    df = spark.createDataFrame([(f"t{i % 7}",) for i in range(300)], "text string").repartition(11)
+
+    def feed(tables, rows):
+        for (t,) in rows:
+            tables[0][int(t[1:])] += 1
+
+    (got,) = hashed.corpus_counts(df, ["text"], [64], feed)
+    assert got.tolist()[:8] == [sum(i % 7 == k for i in range(300)) for k in range(7)] + [0]
+
+
+def test_residue_is_learned_from_texts_that_are_mostly_residue(spark):
+    prose = [(i, f"The residuals of field {i} correlate with the colour excess, which rules out a selection effect in eccentric systems.") for i in range(300)]
+    pages = [(1000 + i, "Error 503 Backend fetch failed. Guru Meditation. XID: 77\nQuorlix zamboni frelk wibbled at node.") for i in range(1)] + [(1100 + i, f"403 Forbidden. Access denied. You are not authorized to access this page.\nQuorlix zamboni frelk wibbled at node {i}.") for i in range(20)]
+    alone = [(2000, "Quorlix zamboni frelk wibbled at node 5.")]
+    got = {r["doc_id"] for r in residue.find_residue(spark.createDataFrame(prose + pages + alone, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in pages + alone}
