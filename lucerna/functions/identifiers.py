@@ -105,11 +105,13 @@ def text_hash(c: Column, n: int = 32) -> Column:
 
 
 def clipped(c: Column, most: int) -> Column:
-    """``text, cut``: 55 % head, a mark and the tail, never longer than ``most`` (at least 40)."""
-    mark = "\n…\n"
+    """``text, cut`` of the stripped text: 55 % head, a mark with about how much is left out, and a tail of what remains, 4,000 characters at least."""
+    t = F.trim(c)
     head = int(most * 0.55)
-    tail = max(0, most - head - len(mark))
-    return F.struct(F.when(F.length(c) > most, F.concat(F.substring(c, 1, head), F.lit(mark), F.right(c, F.lit(tail)))).otherwise(c).alias("text"), (F.length(c) > most).alias("cut"))
+    tail = max(4000, most - head - 120)
+    mark = F.concat(F.lit("\n\n---\n[... 已省略约 "), (F.length(t) - most + 120).cast("string"), F.lit(" 字符 ...]\n---\n\n"))
+    long = (F.length(t) > most) & F.lit(most > 0)
+    return F.struct(F.when(long, F.concat(F.substring(t, 1, head), mark, F.right(t, F.lit(tail)))).otherwise(t).alias("text"), long.alias("cut"))
 
 
 def tsv_to_markdown(c: Column) -> Column:
@@ -120,10 +122,62 @@ def tsv_to_markdown(c: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows.getItem(0)), rule), F.transform(F.slice(rows, 2, 1_000_000), line)), "\n"))
 
 
+#: Spellings of journals (capitals, without stops) and their usual short names.
+JOURNALS = {
+    "A&A": "A&A", "AA": "A&A", "ASTRONOMY & ASTROPHYSICS": "A&A", "APJ": "ApJ", "ASTROPHYSICAL JOURNAL": "ApJ", "APJL": "ApJL", "APJS": "ApJS",
+    "MNRAS": "MNRAS", "MNRA": "MNRAS", "MONTHLY NOTICES OF THE ROYAL ASTRONOMICAL SOCIETY": "MNRAS", "MON NOT R ASTRON SOC": "MNRAS",
+    "AJ": "AJ", "ASTRONOMICAL JOURNAL": "AJ", "PASP": "PASP", "PUBLICATIONS OF THE ASTRONOMICAL SOCIETY OF THE PACIFIC": "PASP",
+    "NATURE": "Nature", "SCIENCE": "Science", "ARA&A": "ARA&A", "ANNUAL REVIEW OF ASTRONOMY AND ASTROPHYSICS": "ARA&A",
+    "BAAA": "BAAA", "BOLETIN DE LA ASOCIACION ARGENTINA DE ASTRONOMIA": "BAAA", "ICARUS": "Icarus", "ASTRON ASTROPHYS REV": "Astron Astrophys Rev",
+    "PASJ": "PASJ", "PUBLICATIONS OF THE ASTRONOMICAL SOCIETY OF JAPAN": "PASJ",
+}
+#: Short names whose stem in a bibcode is another.
+STEMS = {"Astron Astrophys Rev": "A&ARv"}
+
+
+def canonical_journal(c: Column, aliases: dict[str, str] = JOURNALS) -> Column:
+    """The short name of a known spelling (in any case, stops aside), else the squeezed name."""
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    s = squeeze(c)
+    return F.when(s != "", F.coalesce(F.try_element_at(known, F.replace(F.upper(s), F.lit("."), F.lit(""))), s))
+
+
+def journal_stem(c: Column, aliases: dict[str, str] = JOURNALS) -> Column:
+    """The stem under which a journal stands in bibcodes; null for an unknown one."""
+    short = {v.upper().replace(".", ""): STEMS.get(v, v) for v in aliases.values()}
+    known = F.create_map(*[F.lit(x) for kv in short.items() for x in kv])
+    return F.try_element_at(known, F.replace(F.upper(squeeze(c)), F.lit("."), F.lit("")))
+
+
 def journal_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^a-z]", "")
 
 
+def arxiv_with_context(c: Column) -> Column:
+    """An id after ``arXiv:``, in an address or in brackets after ``arXiv``; else a bare one within 25 characters after the word."""
+    new = r"(\d{4}\.\d{4,5}(?:v\d+)?)"
+    prefixed = [rf"(?i)arxiv\s*:\s*{new}", rf"(?i)arxiv\.org/(?:abs|pdf)/{new}", rf"(?i)\[\s*arxiv\s*:?\s*{new}"]
+    return strip_arxiv_version(F.coalesce(*[_first(c, p) for p in prefixed], _first(c, rf"(?is)arxiv.{{0,25}}?\b{new}\b")))
+
+
+def retrieval_query(question: Column, boost: Column, most: int = 6000) -> Column:
+    """The question and, where there is one, the excerpt that led here, cut to ``most`` characters."""
+    q, b = F.trim(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(boost, F.lit("")))
+    return F.substring(F.when(b == "", q).otherwise(F.concat(q, F.lit("\n\n"), b)), 1, most)
+
+
+def visible_answer(c: Column) -> Column:
+    """A model's answer without what it thought and without code fences."""
+    s = F.regexp_replace(c, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), r"(?s)^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+
+
+def json_object(c: Column) -> Column:
+    """The outermost JSON object of an answer as text; null where it does not parse."""
+    body = F.regexp_extract(visible_answer(c), r"(?s)(\{.*\})", 1)
+    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+
+
 def page_numbers(c: Column) -> Column:
     """``1,3-5`` as the sorted distinct numbers 1, 3, 4, 5."""
     span = lambda x: F.sequence(F.regexp_extract(x, r"^(\d+)", 1).cast("int"), F.greatest(F.coalesce(F.expr("null").cast("int"), F.regexp_extract(x, r"(\d+)$", 1).cast("int")), F.regexp_extract(x, r"^(\d+)", 1).cast("int")))

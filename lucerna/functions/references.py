@@ -100,26 +100,65 @@ def front_matter(c: Column, most: int = 60_000) -> Column:
     return F.when(at > 400, F.substring(c, F.lit(1), at - 1)).otherwise(F.substring(c, 1, most))
 
 
-#: Phrases that tell how a work is cited, tried in this order.
+#: Phrases that tell how a work is cited, tried in this order; without any it is background.
 PHRASES = {
-    "METHOD": ("we use", "we used", "using the", "following", "we adopt", "adopted from", "based on the method", "we apply", "applying", "described in", "the data of", "the method of"),
-    "RESULT": ("consistent with", "in agreement", "agrees with", "compared with", "compares", "found that", "we find", "reported", "contradicts", "in contrast", "confirms"),
-}
+    "METHOD": (
+        "we use", "we adopt", "we apply", "we employ", "we follow", "we perform",
+        "based on the method", "based on the technique", "based on observations", "based on the analysis", "derived from", "obtained from",
+        "using the method", "using the technique", "following the method", "following the approach", "as described in", "as detailed in", "as proposed by",
+        "described in", "described by", "detailed in", "developed by", "proposed by", "calibrated with", "calibrated using", "observed with", "measured with",
+        "instrument", "mounted at", "installed at", "serkowski law", "chandrasekhar-fermi", "structure function", "modified bec", "nicer extinction",
+        "gaia edr3", "gaia dr2", "hipparcos", "balmer decrement", "polarimetric", "aimpol",
+    ),
+    "RESULT": (
+        "in contrast to", "in contrast with", "unlike", "whereas", "while we", "however we find", "compared to", "compared with",
+        "our results", "our findings", "our values", "we find that", "we find:", "we obtain:", "we estimate", "we derive",
+        "agree with", "consistent with", "in agreement", "in good agreement", "in qualitative agreement", "disagree with", "inconsistent with",
+        "higher than", "lower than", "much larger", "much smaller", "significantly", "substantially", "previously reported", "earlier found",
+        "first detected", "first discovered", "revised", "updated", "similar to", "similar to those",
+    ),
+}
+#: Names of techniques.
+TECHNIQUES = ("aimpol", "gaia edr3", "gaia dr2", "gaia dr1", "gaia parallax", "serkowski law", "structure function", "chandrasekhar-fermi", "nicer", "bec formula", "bec relation", "balmer decrement", "polarimeter", "2mass", "hipparcos")
+
+
+def _holds(c: Column, phrases: tuple[str, ...]) -> Column:
+    return F.lower(c).rlike("|".join(re.escape(p) for p in phrases))
 
 
 def context_class(c: Column) -> Column:
     """``METHOD``, else ``RESULT``, else ``BACKGROUND``, by the phrases of a citation context."""
     out = F.lit("BACKGROUND")
     for name in reversed(list(PHRASES)):
-        out = F.when(F.lower(c).rlike("|".join(re.escape(p) for p in PHRASES[name])), name).otherwise(out)
+        out = F.when(_holds(c, PHRASES[name]), name).otherwise(out)
     return out
 
 
+def near_technique(c: Column) -> Column:
+    """Whether a context names a technique."""
+    return _holds(c, TECHNIQUES)
+
+
 def is_noise(c: Column) -> Column:
-    """Contexts that are tables, captions or fragments: more than two digits a letter, a caption, or short capitals."""
+    """Contexts that are tables, captions or fragments: more than two digits a letter, a caption, or short and mostly capitals."""
     digits, letters = F.length(F.regexp_replace(c, r"\D", "")), F.length(F.regexp_replace(c, r"\P{L}", ""))
-    s = F.trim(c)
-    return (digits > 2 * letters) | s.rlike(r"(?i)^(fig(ure)?|table)\.?\s*\d+[.:]") | ((F.length(s) < 40) & (s == F.upper(s)))
+    capitals = F.length(F.regexp_replace(c, r"\P{Lu}", ""))
+    return (digits > 2 * letters) | F.lower(c).rlike(r"(fig\.|figure|table|plate)\s+\d") | ((F.length(c) < 30) & (capitals > 0.6 * F.length(c)))
+
+
+def is_noise_context(c: Column) -> Column:
+    """``is_noise``, or nothing but one citation."""
+    return is_noise(c) | F.trim(c).rlike(r"^[A-Z][a-z]+ et al\.?\s+\d{4}[a-z]?$")
+
+
+def citation_patterns(authors: Column, year: Column) -> Column:
+    """The forms in which a work of these authors (``Family, Given``) and year is cited in text."""
+    family = lambda i: F.trim(F.split(F.trim(F.coalesce(F.try_element_at(authors, F.lit(i)), F.lit(""))), r",|(?<=\S)\s").getItem(0))
+    a, b, y = family(1), family(2), F.regexp_extract(F.coalesce(year, F.lit("")), r"(\d{4})", 1)
+    several = [F.concat(a, F.lit(sep), y) for sep in (" et al. ", " et al.", " et al ", " + ", " +")]
+    pair = [F.when(b != "", F.concat(a, F.lit(sep), b, F.lit(" "), y)) for sep in (" & ", " &", " and ", " and")]
+    alone = [F.concat(a, F.lit(" "), y), F.concat(F.lit("("), a, F.lit(" "), y, F.lit(")")), F.concat(F.lit("("), a, F.lit(" et al. "), y, F.lit(")")), F.when(b != "", F.concat(F.lit("("), a, F.lit(" & "), b, F.lit(" "), y, F.lit(")")))]
+    return F.when((a != "") & (y != ""), F.array_distinct(F.array_compact(F.array(*several, *pair, *alone)))).otherwise(F.array().cast("array<string>"))
 
 
 def citation_contexts(docs: DataFrame, id_col: str, text: str, radius: int = 250) -> DataFrame:
@@ -142,11 +181,38 @@ def citation_contexts(docs: DataFrame, id_col: str, text: str, radius: int = 250
     return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).where("t is not null").mapInPandas(run, f"{id_col} {kind}, cited string, start int, context string")
 
 
-def reference_category(df: DataFrame, by: str, context: str) -> DataFrame:
-    """Counts of context classes and the resulting category of each cited work: RESULT wins over METHOD over BACKGROUND."""
+#: Names of catalogues and how they are found in text, in any case.
+CATALOGS = {
+    "2MASS": r"\b2MASS\b", "Gaia": r"\bGaia\b", "Gaia EDR3": r"Gaia\s+EDR3", "Gaia DR2": r"Gaia\s+DR2", "Tycho-2": r"\bTycho[- ]2\b", "Hipparcos": r"\bHipparcos\b",
+    "WISE": r"\bWISE\b", "IRAS": r"\bIRAS\b", "Planck": r"\bPlanck\b", "VizieR": r"VizieR", "SIMBAD": r"\bSIMBAD\b", "NED": r"\bNED\b", "SDSS": r"\bSDSS\b", "APASS": r"\bAPASS\b",
+    "IRSA": r"\bIRSA\b", "JCMT": r"\bJCMT\b", "ALMA": r"\bALMA\b", "VLT": r"\bVLT\b", "Spitzer": r"\bSpitzer\b", "Herschel": r"\bHerschel\b", "CORAVEL": r"\bCORAVEL\b", "Bica": r"\bBica\b",
+    "Kharchenko": r"\bKharchenko\b", "Mend": r"\bMend\b", "DAML": r"\bDAML\b", "WR": r"\bWR\s+catalog",
+}
+
+
+def catalog_mentions(docs: DataFrame, id_col: str, text: str, patterns: dict[str, str] = CATALOGS, shown: int = 3) -> DataFrame:
+    """``id, name, occurrences, contexts``: the catalogues a text names, with the first ``shown`` places (40 characters before, 60 after)."""
+    c = F.col(text)
+    one = lambda k, p: F.struct(
+        F.lit(k).alias("name"), F.regexp_count(c, F.lit(f"(?i){p}")).cast("long").alias("occurrences"),
+        F.transform(F.slice(F.regexp_extract_all(c, F.lit(f"(?is)(.{{0,40}}{p}.{{0,60}})"), F.lit(1)), 1, shown), lambda x: F.concat(F.lit("..."), F.trim(F.replace(x, F.lit("\n"), F.lit(" "))), F.lit("..."))).alias("contexts"))
+    # a text without any of the names is passed over by one pattern
+    any_ = docs.where(c.rlike("(?i)" + "|".join(patterns.values())))
+    return any_.select(id_col, F.explode(F.array(*[one(k, p) for k, p in patterns.items()])).alias("x")).select(id_col, "x.*").where("occurrences > 0")
+
+
+def reference_category(df: DataFrame, by: str, context: str, works: DataFrame | None = None) -> DataFrame:
+    """Counts of context classes and the category of each cited work: RESULT wins over METHOD over BACKGROUND.
+
+    Contexts that are noise do not count. With ``works`` (a column ``by``) every one of them has a row;
+    one without contexts is ``UNCITED``.
+    """
     c = context_class(F.col(context))
-    g = df.where(~is_noise(F.col(context))).groupBy(by).agg(F.count_if(c == "METHOD").alias("n_method"), F.count_if(c == "RESULT").alias("n_result"), F.count_if(c == "BACKGROUND").alias("n_background"))
-    return g.withColumn("category", F.when(F.col("n_result") > 0, "RESULT").when(F.col("n_method") > 0, "METHOD").otherwise("BACKGROUND"))
+    g = df.where(~is_noise_context(F.col(context))).groupBy(by).agg(F.count_if(c == "METHOD").alias("n_method"), F.count_if(c == "RESULT").alias("n_result"), F.count_if(c == "BACKGROUND").alias("n_background"))
+    if works is not None:
+        g = works.select(by).distinct().join(g, by, "left").fillna(0, ["n_method", "n_result", "n_background"])
+    any_ = F.col("n_method") + F.col("n_result") + F.col("n_background") > 0
+    return g.withColumn("category", F.when(F.col("n_result") > 0, "RESULT").when(F.col("n_method") > 0, "METHOD").when(any_, "BACKGROUND").otherwise("UNCITED"))
 
 
 def follow_sets(model: Column, cited: Column, method: Column, tight: bool = False) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lucerna.functions.text import words
 
 K1, B = 1.2, 0.75
-#: Words that carry an operator's meaning in full-text queries.
-RESERVED = frozenset("and or not near the a an of in on for to with from by".split())
+#: Words that are no terms of a full-text query.
+RESERVED = frozenset("and or not near ne a an the is are to of in on for".split())
 
 
 def query_terms(text: str, most: int = 24) -> list[str]:
@@ -35,26 +35,31 @@ def postings(df: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataF
 def search(df: DataFrame, id_col: str, text: Column, terms: list[str], require_all: bool = True) -> DataFrame:
     """``(id, bm25)`` of the rows that hold all (or any) of the terms; lower is better.
 
-    Only the query's terms are counted, inside the scan: one narrow pass gives each row's length and term
-    frequencies, one aggregation of a single row gives the corpus statistics. Null texts have no words.
+    Only the query's terms are looked for, inside the scan: one aggregation of a single row gives the corpus
+    statistics, and only rows that hold the terms are counted in a second narrow pass; no list of words is
+    built. Null texts have no words.
     """
     if not terms:
         return df.select(id_col, F.lit(0.0).alias("bm25")).limit(0)
-    toks = df.select(F.col(id_col), words(F.coalesce(text, F.lit(""))).alias("w"))
-    tf = [(F.size("w") - F.size(F.array_remove("w", t))).alias(f"f{i}") for i, t in enumerate(terms)]
-    rows = toks.select(id_col, F.size("w").alias("len"), *tf)
-    hits = [F.col(f"f{i}") > 0 for i in range(len(terms))]
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.sum(h.cast("long")).alias(f"d{i}") for i, h in enumerate(hits)])
-    keep = hits[0]
-    for h in hits[1:]:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    part = r"[\p{L}\p{N}_]"
+    whole = [F.lit(rf"(?<!{part}){re.escape(t)}(?!{part})") for t in terms]
+    # a text that does not hold the letters of a term is not searched for the word
+    has = [F.contains(F.col("low"), F.lit(t)) & F.regexp_like(F.col("low"), w) for t, w in zip(terms, whole)]
+    texts = df.select(F.col(id_col), low.alias("low"))
+    length = F.regexp_count("low", F.lit(rf"{part}+"))
+    stats = texts.agg(F.count("*").alias("n"), F.avg(length).alias("avg_len"), *[F.count_if(h).alias(f"d{i}") for i, h in enumerate(has)])
+    keep = has[0]
+    for h in has[1:]:
         keep = keep & h if require_all else keep | h
+    rows = texts.where(keep).select(id_col, length.alias("len"), *[F.regexp_count("low", w).alias(f"f{i}") for i, w in enumerate(whole)])
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
         idf = F.when(idf <= 0, 1e-6).otherwise(idf)
         f = F.col(f"f{i}").cast("double")
         score = score - F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
-    return rows.where(keep).crossJoin(F.broadcast(stats)).select(id_col, score.alias("bm25"))
+    return rows.crossJoin(F.broadcast(stats)).select(id_col, score.alias("bm25"))
 
 
 def search_many(df: DataFrame, id_col: str, text: Column, queries: DataFrame, require_all: bool = False) -> DataFrame:

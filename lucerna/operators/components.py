@@ -25,14 +25,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Large-star and small-star steps run by turns until no edge changes. Each step is a
     min aggregation (combined before the shuffle) joined back to the edges, so a hub never
     gathers its neighbours in one task; AQE splits the hub's join partition.
-    Nulls and self-loops are ignored; an empty input gives an empty result.
+    Nulls and self-loops are ignored; an empty input gives an empty result. Rounds grow with the logarithm of
+    the longest path; a result that has not settled after ``max_rounds`` is an error, never returned.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     for _ in range(max_rounds):
         sig = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sig == seen or sig[0] == 0:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()
         seen = sig
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -44,4 +45,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v"))).distinct()
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds: raise max_rounds")

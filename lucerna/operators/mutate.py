@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions.text import nonblank
+from lucerna.runtime import cut
 
 
 def upsert_papers(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def upsert_papers(old: DataFrame, new: DataFrame) -> DataFrame:
     has them; title, abstract and source are overwritten, empty or not; created_at stays. Later duplicates of
     a key within the delta are expected to be merged before. New ids follow the largest old one.
     """
-    d = new.withColumn("_k", F.monotonically_increasing_id())
+    d = cut(new.withColumn("_k", F.monotonically_increasing_id()))  # written once: a recomputed branch could number rows otherwise
     by_arxiv = d.where(nonblank(F.col("arxiv_id"))).join(old.where(nonblank(F.col("arxiv_id"))).select("arxiv_id", F.col("id").alias("_a")), "arxiv_id").groupBy("_k").agg(F.min("_a").alias("_a"))
     by_bib = d.where(nonblank(F.col("bibcode"))).join(old.where(nonblank(F.col("bibcode"))).select("bibcode", F.col("id").alias("_b")), "bibcode").groupBy("_k").agg(F.min("_b").alias("_b"))
     d = d.join(by_arxiv, "_k", "left").join(by_bib, "_k", "left").withColumn("_id", F.coalesce("_a", "_b")).drop("_a", "_b")
@@ -33,8 +34,6 @@ def upsert_papers(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``n`` = 1, 2, … in the given order without gathering the rows in one task: range partitions, then offsets."""
-    from lucerna.runtime import cut
-
     parts = cut(df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")

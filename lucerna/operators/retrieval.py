@@ -52,8 +52,8 @@ def mmr_pick(texts: list[str], scores: list[float], k: int, lam: float = 0.6) ->
     return picked
 
 
-def mmr(df: DataFrame, by: str, item: str, text: str, score: str, k: int = 16, lam: float = 0.6, pool: int = 512) -> DataFrame:
-    """``by, item, pick`` of a diversified selection per query. Pools are the ``pool`` best rows a query, so a group is bounded."""
+def mmr(df: DataFrame, by: str, item: str, text: str, score: str, k: int = 16, lam: float = 0.6, pool: int = 48) -> DataFrame:
+    """``by, item, pick`` of a diversified selection per query. The pool is part of the operator: what the fused lists of a query hold (24 of each), so a group is bounded."""
     best = top_per_group(df.select(by, item, text, score), [by], [F.desc(score), F.col(item)], pool)
     kinds = {f.name: f.dataType.simpleString() for f in best.schema}
 
@@ -66,24 +66,43 @@ def mmr(df: DataFrame, by: str, item: str, text: str, score: str, k: int = 16, l
 
 
 def pack_bundles(df: DataFrame, by: str, ord_col: str, text: str, most: int) -> DataFrame:
-    """Greedy bundles: a text joins the open bundle unless it would pass ``most``; then a new one opens."""
+    """Greedy bundles: a text joins the open bundle unless it would pass ``most``; then a new one opens.
+
+    The choice depends on all texts before, so the lengths of a group (no texts) are walked through in one task.
+    """
     lens = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.length(text).alias("n")))).alias("x"))
-    step = F.aggregate(
-        "x",
-        F.struct(F.lit(0).alias("b"), F.lit(0).alias("used"), F.array().cast("array<struct<o:int,b:int>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when((a.used + x.n > most) & (a.used > 0), a.b + 1).otherwise(a.b).alias("b"),
-            F.when((a.used + x.n > most) & (a.used > 0), x.n).otherwise(a.used + x.n).alias("used"),
-            F.concat(a.out, F.array(F.struct(x.o.cast("int").alias("o"), F.when((a.used + x.n > most) & (a.used > 0), a.b + 1).otherwise(a.b).alias("b")))).alias("out"),
-        ),
-        lambda a: a.out,
-    )
-    return lens.select(by, F.explode(step).alias("s")).select(by, F.col("s.o").alias(ord_col), F.col("s.b").alias("bundle"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, rows in zip(b[by], b["x"]):
+                out, bundle, used = [], 0, 0
+                for r in rows:
+                    n = r["n"] or 0
+                    bundle, used = (bundle + 1, n) if used and used + n > most else (bundle, used + n)
+                    out.append((g, r["o"], bundle))
+                yield pd.DataFrame(out, columns=[by, ord_col, "bundle"])
+
+    return lens.mapInPandas(run, f"{by} {kinds[by]}, {ord_col} {kinds[ord_col]}, bundle int")
+
+
+def hybrid(chunks: DataFrame, item: str, text: str, terms: list[str], query_vector: list[float], vector: Column, pool: int = 24) -> DataFrame:
+    """``item, rrf, list_id, rank``: the fused ``pool`` best rows by words and by vectors."""
+    from lucerna.operators import bm25, vectors
+
+    words = bm25.search(chunks, item, F.col(text), terms, False).select(item, F.round("bm25", 6).alias("s"))
+    near = chunks.select(item, F.round(vectors.cosine_distance(vector, F.array(*[F.lit(float(x)) for x in query_vector])), 9).alias("s")).where("s is not null")
+    lists = None
+    for k, hits in enumerate((words, near)):
+        top = hits.orderBy("s", item).limit(pool)
+        top = top.select(item, (F.row_number().over(Window.orderBy("s", item)) - 1).alias("rank"), F.lit(k).alias("list_id"))
+        lists = top if lists is None else lists.unionByName(top)
+    return rrf(lists, item).select(item, "rrf", "first_seen.list_id", "first_seen.rank")
 
 
 def grounded(excerpt: Column, body: Column, least: float = 0.6) -> Column:
     """Whether a body holds an excerpt: as a part after normalisation, or by ``least`` of its words."""
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
-    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]{3,})"), F.lit(1)))
+    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)))
     recall = F.size(F.array_intersect(toks(excerpt), toks(body))) / F.size(toks(excerpt))
     return F.coalesce((flat(excerpt) != "") & (F.contains(flat(body), flat(excerpt)) | (recall >= least)), F.lit(False))

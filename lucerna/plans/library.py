@@ -7,7 +7,8 @@ from lucerna.functions.text import nonblank
 from lucerna.operators import mutate
 from lucerna.operators.retrieval import first_of_union, top_per_group, within_budget
 from lucerna.plans.base import query, table
-from lucerna.streaming.monitor import KEYWORDS, keyword_labels
+from lucerna.runtime import small
+from lucerna.streaming.monitor import keyword_labels
 
 _NB = "({0} IS NOT NULL AND trim({0}) <> '')"
 
@@ -69,12 +70,13 @@ def _(s, d):
     return table(s, d, "papers").where(F.col("published") >= "2015-01-01").select("id", "published")
 
 
-_LABELS = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{p}')" for p in ps) + f" THEN '{k}' END" for k, ps in sorted(KEYWORDS.items()))
+_TOPICS = {"dynamical friction": "dynamics", "stellar feedback": "feedback", "late merger": "mergers", "mass segregation": "dynamics"}
+_LABELS = "[x FOR x IN [" + ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{p}') THEN '{v}' END" for p, v in (("dynamical friction", "dynamics"), ("stellar feedback", "feedback"), ("late merger", "mergers"), ("mass segregation", "dynamics"))) + "] IF x IS NOT NULL]"
 
 
-@query("f12_keywords", f"SELECT doc_id, array_to_string([x FOR x IN [{_LABELS}] IF x IS NOT NULL], ',') AS labels FROM documents WHERE len([x FOR x IN [{_LABELS}] IF x IS NOT NULL]) > 0")
+@query("f12_keywords", f"SELECT doc_id, array_to_string({_LABELS}, ',') AS labels FROM documents WHERE len({_LABELS}) > 0")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(keyword_labels(F.col("text")), ",").alias("labels")).where("labels <> ''")
+    return table(s, d, "documents").select("doc_id", F.array_join(keyword_labels(F.col("text"), _TOPICS), ",").alias("labels")).where("labels <> ''")
 
 
 @query("j2_edges", """
@@ -127,12 +129,6 @@ def _(s, d):
     return both.withColumn("section", F.last("title", ignorenulls=True).over(w)).where("k = 1").select("id", "section")
 
 
-@query("j12_page_of_position", "SELECT id, 1 + length(substring(text, 1, 400)) - length(replace(substring(text, 1, 400), chr(10), '')) AS page FROM paper_chunks WHERE text IS NOT NULL")
-def _(s, d):
-    pre = F.substring("text", 1, 400)
-    return table(s, d, "paper_chunks").where("text is not null").select("id", (1 + F.length(pre) - F.length(F.replace(pre, F.lit("\n"), F.lit("")))).cast("long").alias("page"))
-
-
 @query("j12_page_of_chunk", """
 WITH c AS (SELECT k.id, k.paper_id, k.char_start, k.text FROM paper_chunks k JOIN papers p ON p.id = k.paper_id WHERE p.source_kind = 'pdf'),
 b AS (SELECT DISTINCT paper_id, pos FROM (SELECT paper_id, char_start + i - 1 AS pos, substring(text, i, 1) AS x FROM (SELECT *, unnest(generate_series(1, length(text))) AS i FROM c WHERE contains(text, chr(12)))) WHERE x = chr(12))
@@ -149,16 +145,15 @@ def _(s, d):
 
 
 @query("j14_reference_to_candidate", """
-WITH r AS (SELECT ref_id, lower(first_author) AS a, substr(year, 1, 4) AS y FROM parsed_references WHERE first_author IS NOT NULL AND year IS NOT NULL),
-c AS (SELECT cand_id, lower(split_part(authors[1], ',', 1)) AS a, substr(year, 1, 4) AS y FROM candidates WHERE len(authors) > 0 AND year IS NOT NULL),
-p AS (SELECT ref_id, cand_id, row_number() OVER (PARTITION BY ref_id ORDER BY cand_id) AS n FROM r JOIN c USING (a, y)),
-q AS (SELECT ref_id, cand_id, row_number() OVER (PARTITION BY cand_id ORDER BY ref_id) AS m FROM p WHERE n = 1)
-SELECT ref_id, cand_id FROM q WHERE m = 1""")
+WITH r AS (SELECT ref_id, lower(first_author) AS a, substr(year, 1, 4) AS y, row_number() OVER (PARTITION BY lower(first_author), substr(year, 1, 4) ORDER BY ref_id) AS n FROM parsed_references WHERE first_author IS NOT NULL AND year IS NOT NULL),
+c AS (SELECT cand_id, a, y, row_number() OVER (PARTITION BY a, y ORDER BY cand_id) AS n FROM (SELECT cand_id, lower(split_part(authors[1], ',', 1)) AS a, substr(year, 1, 4) AS y FROM candidates WHERE len(authors) > 0 AND year IS NOT NULL))
+SELECT ref_id, cand_id FROM r JOIN c USING (a, y, n)""")
 def _(s, d):
+    # the first unused candidate of a key: the n-th reference of the key gets its n-th candidate
     r = table(s, d, "parsed_references").where("first_author is not null and year is not null").select("ref_id", F.lower("first_author").alias("a"), F.substring("year", 1, 4).alias("y"))
     c = table(s, d, "candidates").where("size(authors) > 0 and year is not null").select("cand_id", F.lower(F.split(F.col("authors")[0], ",")[0]).alias("a"), F.substring("year", 1, 4).alias("y"))
-    first = r.join(c.groupBy("a", "y").agg(F.min("cand_id").alias("cand_id")), ["a", "y"])  # the first candidate of a key is all that is asked for
-    return first.groupBy("cand_id").agg(F.min("ref_id").alias("ref_id")).select("ref_id", "cand_id")
+    nth = lambda df, i: df.withColumn("n", F.row_number().over(Window.partitionBy("a", "y").orderBy(i)))
+    return nth(r, "ref_id").join(nth(c, "cand_id"), ["a", "y", "n"]).select("ref_id", "cand_id")
 
 
 @query("a1_stats", "SELECT count(*) AS papers, max(updated_at) AS last_update FROM papers")
@@ -285,5 +280,6 @@ def _(s, d):
 
 @query("k12_metric_pivot", "SELECT source, count(*) FILTER (reason = 'author+year') AS author_year, count(*) FILTER (reason = 'journal+volume+page') AS journal_volume_page, count(*) FILTER (reason = 'title overlap') AS title_overlap FROM candidates GROUP BY source")
 def _(s, d):
-    p = table(s, d, "candidates").groupBy("source").pivot("reason", ["author+year", "journal+volume+page", "title overlap"]).count()
-    return p.toDF("source", "author_year", "journal_volume_page", "title_overlap").fillna(0)
+    c = table(s, d, "candidates").withColumn("reason", F.regexp_replace("reason", "[^A-Za-z0-9]+", "_"))
+    keys = sorted(r["reason"] for r in small(c.select("reason").where("reason is not null").distinct(), 1000).collect())  # columns of a table: checked
+    return c.groupBy("source").pivot("reason", keys).count().fillna(0)

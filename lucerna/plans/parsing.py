@@ -71,21 +71,41 @@ def _(s, d):
     return references.citation_contexts(table(s, d, "paper_chunks"), "id", "text")
 
 
-_PH = {k: " OR ".join(f"contains(t, '{p}')" for p in v) for k, v in references.PHRASES.items()}
+_METHOD = "we use|we adopt|we apply|we employ|we follow|we perform|based on the method|based on the technique|based on observations|based on the analysis|derived from|obtained from|using the method|using the technique|following the method|following the approach|as described in|as detailed in|as proposed by|described in|described by|detailed in|developed by|proposed by|calibrated with|calibrated using|observed with|measured with|instrument|mounted at|installed at|serkowski law|chandrasekhar-fermi|structure function|modified bec|nicer extinction|gaia edr3|gaia dr2|hipparcos|balmer decrement|polarimetric|aimpol"
+_RESULT = "in contrast to|in contrast with|unlike|whereas|while we|however we find|compared to|compared with|our results|our findings|our values|we find that|we find:|we obtain:|we estimate|we derive|agree with|consistent with|in agreement|in good agreement|in qualitative agreement|disagree with|inconsistent with|higher than|lower than|much larger|much smaller|significantly|substantially|previously reported|earlier found|first detected|first discovered|revised|updated|similar to|similar to those"
+_CLASS = f"CASE WHEN regexp_matches(t, '{_METHOD}') THEN 'METHOD' WHEN regexp_matches(t, '{_RESULT}') THEN 'RESULT' ELSE 'BACKGROUND' END"
 
 
-@query("r19_context_class", f"SELECT id, CASE WHEN {_PH['METHOD']} THEN 'METHOD' WHEN {_PH['RESULT']} THEN 'RESULT' ELSE 'BACKGROUND' END AS cls FROM (SELECT id, lower(text) AS t FROM paper_chunks)")
+@query("r19_context_class", f"SELECT id, {_CLASS} AS cls FROM (SELECT id, lower(text) AS t FROM paper_chunks)")
 def _(s, d):
     return table(s, d, "paper_chunks").select("id", references.context_class(F.col("text")).alias("cls"))
 
 
+@query("p20_near_technique", "SELECT id FROM paper_chunks WHERE regexp_matches(lower(text), 'aimpol|gaia edr3|gaia dr2|gaia dr1|gaia parallax|serkowski law|structure function|chandrasekhar-fermi|nicer|bec formula|bec relation|balmer decrement|polarimeter|2mass|hipparcos')")
+def _(s, d):
+    return table(s, d, "paper_chunks").where(references.near_technique(F.col("text"))).select("id")
+
+
+# one row for every place at which a form of citation begins, in DuckDB
+_CITED = [r"(\p{Lu}[\p{L}''’-]+) et al\.?,? \(?((?:19|20)\d{2})", r"(\p{Lu}[\p{L}''’-]+) (?:and|&) \p{Lu}[\p{L}''’-]+,? \(?((?:19|20)\d{2})", r"(\p{Lu}[\p{L}''’-]+),? \(?((?:19|20)\d{2})"]
+
+
 @query("a14_reference_category")
 def _(s, d):
     return references.reference_category(references.citation_contexts(table(s, d, "paper_chunks"), "id", "text"), "cited", "context")
 
 
+@query("a14_category_of_chunks", f"""
+WITH n AS (SELECT paper_id, {_CLASS} AS cls FROM (SELECT paper_id, lower(text) AS t, text FROM paper_chunks) WHERE NOT ((length(regexp_replace(text, '[^0-9]', '', 'g')) > 2 * length(regexp_replace(text, '\\P{{L}}', '', 'g'))) OR regexp_matches(t, '(fig\\.|figure|table|plate)\\s+[0-9]') OR (length(text) < 30 AND length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) > 0.6 * length(text)) OR regexp_matches(trim(text), '^[A-Z][a-z]+ et al\\.?\\s+[0-9]{{4}}[a-z]?$'))),
+g AS (SELECT paper_id, count(*) FILTER (cls = 'METHOD') AS n_method, count(*) FILTER (cls = 'RESULT') AS n_result, count(*) FILTER (cls = 'BACKGROUND') AS n_background FROM n GROUP BY 1)
+SELECT p.id AS paper_id, coalesce(n_method, 0) AS n_method, coalesce(n_result, 0) AS n_result, coalesce(n_background, 0) AS n_background,
+CASE WHEN n_result > 0 THEN 'RESULT' WHEN n_method > 0 THEN 'METHOD' WHEN n_background > 0 THEN 'BACKGROUND' ELSE 'UNCITED' END AS category FROM papers p LEFT JOIN g ON g.paper_id = p.id""")
+def _(s, d):
+    return references.reference_category(table(s, d, "paper_chunks"), "paper_id", "text", table(s, d, "papers").select(F.col("id").alias("paper_id")))
+
+
 @query("f13_noise", r"""
-SELECT id, (length(regexp_replace(text, '[^0-9]', '', 'g')) > 2 * length(regexp_replace(text, '\P{L}', '', 'g'))) OR regexp_matches(trim(text), '(?i)^(fig(ure)?|table)\.?\s*[0-9]+[.:]') OR (length(trim(text)) < 40 AND trim(text) = upper(trim(text))) AS noise FROM paper_chunks""")
+SELECT id, (length(regexp_replace(text, '[^0-9]', '', 'g')) > 2 * length(regexp_replace(text, '\P{L}', '', 'g'))) OR regexp_matches(lower(text), '(fig\.|figure|table|plate)\s+[0-9]') OR (length(text) < 30 AND length(regexp_replace(text, '\P{Lu}', '', 'g')) > 0.6 * length(text)) AS noise FROM paper_chunks""")
 def _(s, d):
     return table(s, d, "paper_chunks").select("id", references.is_noise(F.col("text")).alias("noise"))
 
@@ -95,7 +115,26 @@ def _(s, d):
     return table(s, d, "paper_chunks").select("id", F.array_join(clean.headings(F.col("text")), "|").alias("headings")).where("headings <> ''")
 
 
-@query("a21_catalog_mentions", r"SELECT name, count(*) AS chunks, sum(n) AS mentions FROM (SELECT 'Corvane' AS name, len(regexp_extract_all(text, '(?i)corvane')) AS n FROM paper_chunks UNION ALL SELECT 'Halvern', len(regexp_extract_all(text, '(?i)halvern')) FROM paper_chunks) WHERE n > 0 GROUP BY name")
+_NAMED = {"Corvane array": r"\\bCorvane\\b", "Halvern": r"Halvern\\s+interferometer"}
+_FOUND = """WITH x AS (SELECT name, id, p, regexp_extract_all(text, '(?is).{{0,40}}' || p || '.{{0,60}}') AS c, len(regexp_extract_all(text, '(?i)' || p)) AS n FROM paper_chunks, (VALUES {rows}) AS t(name, p))
+SELECT id, name, n AS occurrences FROM x WHERE n > 0"""
+
+
+@query("a21_catalog_mentions", _FOUND.format(rows=", ".join(f"('{k}', '{v.replace(chr(92) * 2, chr(92))}')" for k, v in _NAMED.items())))
+def _(s, d):
+    found = references.catalog_mentions(table(s, d, "paper_chunks"), "id", "text", {"Corvane array": r"\bCorvane\b", "Halvern": r"Halvern\s+interferometer"})
+    return found.select("id", "name", "occurrences")
+
+
+@query("p27_catalogs", r"""
+WITH t(name, p) AS (VALUES ('2MASS', '\b2MASS\b'), ('Gaia', '\bGaia\b'), ('Gaia EDR3', 'Gaia\s+EDR3'), ('Gaia DR2', 'Gaia\s+DR2'), ('Tycho-2', '\bTycho[- ]2\b'), ('Hipparcos', '\bHipparcos\b'), ('WISE', '\bWISE\b'), ('IRAS', '\bIRAS\b'), ('Planck', '\bPlanck\b'), ('VizieR', 'VizieR'), ('SIMBAD', '\bSIMBAD\b'), ('NED', '\bNED\b'), ('SDSS', '\bSDSS\b'), ('APASS', '\bAPASS\b'), ('IRSA', '\bIRSA\b'), ('JCMT', '\bJCMT\b'), ('ALMA', '\bALMA\b'), ('VLT', '\bVLT\b'), ('Spitzer', '\bSpitzer\b'), ('Herschel', '\bHerschel\b'), ('CORAVEL', '\bCORAVEL\b'), ('Bica', '\bBica\b'), ('Kharchenko', '\bKharchenko\b'), ('Mend', '\bMend\b'), ('DAML', '\bDAML\b'), ('WR', '\bWR\s+catalog'))
+SELECT id, name, n AS occurrences FROM (SELECT id, name, len(regexp_extract_all(text, '(?i)' || p)) AS n FROM paper_chunks, t) WHERE n > 0""")
+def _(s, d):
+    return references.catalog_mentions(table(s, d, "paper_chunks"), "id", "text").select("id", "name", "occurrences")
+
+
+@query("p17_patterns", r"""
+WITH a AS (SELECT cand_id, trim(regexp_split_to_array(trim(authors[1]), ',|\s')[1]) AS f, coalesce(trim(regexp_split_to_array(trim(authors[2]), ',|\s')[1]), '') AS g, regexp_extract(year, '([0-9]{4})', 1) AS y FROM candidates WHERE len(authors) > 0 AND year IS NOT NULL)
+SELECT cand_id, 8 + CASE WHEN g <> '' THEN 5 ELSE 0 END AS n FROM a WHERE f <> '' AND y <> ''""")
 def _(s, d):
-    c = table(s, d, "paper_chunks").select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count("text", F.lit(f"(?i){n.lower()}")).cast("long").alias("n")) for n in ("Corvane", "Halvern")])).alias("x"))
-    return c.select("x.*").where("n > 0").groupBy("name").agg(F.count("*").alias("chunks"), F.sum("n").alias("mentions"))
+    return table(s, d, "candidates").select("cand_id", F.size(references.citation_patterns(F.transform("authors", lambda a: F.regexp_replace(F.trim(a), r"^([^,\s]+).*$", "$1")), F.col("year"))).cast("long").alias("n")).where("n > 0")

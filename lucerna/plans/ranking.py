@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions.chunk import chunk_texts, fixed_chunks
 from lucerna.functions.text import words
-from lucerna.operators import bm25, retrieval, vectors
+from lucerna.operators import bm25, retrieval, topics, vectors
 from lucerna.plans.base import query, table
 from lucerna.runtime import small
 
@@ -69,24 +69,45 @@ def _(s, d):
     return chunk_texts(table(s, d, "documents"), "doc_id", "text").withColumn("text_hash", F.substring(F.sha2("text", 256), 1, 32)).drop("text")
 
 
-@query("t7_hybrid", f"""
-WITH b AS (SELECT id, row_number() OVER (ORDER BY bm25, id) - 1 AS r FROM ({bm25_sql('paper_chunks', 'id', 'text', _T2, False, 24)})),
-c AS (SELECT id, row_number() OVER (ORDER BY length(text) DESC, id) - 1 AS r FROM paper_chunks ORDER BY r LIMIT 24)
-SELECT id, round(sum(1.0 / (60 + r + 1)), 9) AS rrf FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY id""")
+_VEC = "[" + ", ".join(f"('0x' || substr(h, {2 * i + 1}, 2))::INT / 127.5 - 1" for i in range(8)) + "]"
+_QTEXT = "magnetic braking metallicity"
+_FUSED = f"""b AS (SELECT id, row_number() OVER (ORDER BY bm25, id) - 1 AS r, 0 AS l FROM ({bm25_sql('paper_chunks', 'id', 'text', _T2, False, 24)})),
+e AS (SELECT id, {_VEC} AS v FROM (SELECT id, sha256(coalesce(text, '')) AS h FROM paper_chunks)), q AS (SELECT {_VEC} AS v FROM (SELECT sha256('{_QTEXT}') AS h)),
+n AS (SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS r, 1 AS l FROM (SELECT id, round(1 - list_cosine_similarity(e.v::DOUBLE[], q.v::DOUBLE[]), 9) AS d FROM e, q ORDER BY d, id LIMIT 24)),
+f AS (SELECT id, sum(1.0 / (60 + r + 1)) AS rrf FROM (SELECT * FROM b UNION ALL SELECT * FROM n) GROUP BY id)"""
+
+
+def _hybrid(c):
+    return retrieval.hybrid(c, "id", "text", _T2, vectors.hash_embedding(_QTEXT), vectors.hash_embedding_col(F.col("text")))
+
+
+@query("t7_hybrid", f"WITH {_FUSED} SELECT id, round(rrf, 9) AS rrf FROM f")
 def _(s, d):
-    c = table(s, d, "paper_chunks")
-    a = bm25.search(c, "id", F.col("text"), _T2, False).withColumn("b", F.round("bm25", 6)).orderBy("b", "id").limit(24)
-    a = a.select("id", (F.row_number().over(Window.orderBy("b", "id")) - 1).alias("rank"), F.lit(0).alias("list_id"))
-    b = c.select("id", F.length("text").alias("n")).orderBy(F.desc("n"), "id").limit(24).select("id", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"), F.lit(1).alias("list_id"))
-    return retrieval.rrf(a.unionByName(b), "id").select("id", F.round("rrf", 9).alias("rrf"))
+    return _hybrid(table(s, d, "paper_chunks")).select("id", F.round("rrf", 9).alias("rrf"))
 
 
 @query("t8_context_mmr")
 def _(s, d):
     c = table(s, d, "paper_chunks").select("id", "paper_id", "text")
-    hits = bm25.search(c, "id", F.col("text"), _T2, False).join(c, "id").withColumn("score", -F.col("bm25"))
-    picks = retrieval.mmr(hits, "paper_id", "id", "text", "score", 16)
-    return retrieval.within_budget(picks.join(c.drop("paper_id"), "id"), ["paper_id"], [F.col("pick")], F.length("text"), 24_000, 2).select("paper_id", "id", "pick", "used")
+    hits = _hybrid(c).select("id", F.col("rrf").alias("score")).join(c, "id").withColumn("by", F.lit(_QTEXT))
+    return retrieval.mmr(hits, "by", "id", "text", "score", 16).select("id", "pick")
+
+
+@query("t8_context", f"""WITH {_FUSED}, k AS (SELECT id, row_number() OVER (ORDER BY round(rrf, 9) DESC, id) AS n FROM f), p AS (SELECT k.n, '[chunk_id=' || k.id || ']' || chr(10) || trim(c.text) AS part FROM k JOIN paper_chunks c USING (id) WHERE k.n <= 16 AND trim(c.text) <> ''),
+w AS (SELECT n, part, sum(length(part) + 2) OVER (ORDER BY n) AS used, row_number() OVER (ORDER BY n) AS rn FROM p)
+SELECT md5(string_agg(part, chr(10) || chr(10) ORDER BY n)) AS h, count(*) AS n FROM w WHERE used <= 24000 OR rn = 1""")
+def _(s, d):
+    c = table(s, d, "paper_chunks").select("id", "paper_id", "text")
+    picks = _hybrid(c).select(F.lit(1).alias("by"), "id", F.row_number().over(Window.orderBy(F.desc(F.round("rrf", 9)), "id")).alias("pick"))
+    text = topics.context_text(picks, c).select("context")
+    return text.select(F.md5("context").alias("h"), F.regexp_count("context", F.lit(r"\[chunk_id=")).cast("long").alias("n"))
+
+
+@query("t8_single_paper_filter", "SELECT id FROM paper_chunks WHERE paper_id = (SELECT min(paper_id) FROM paper_chunks) AND regexp_matches(lower(text), '(^|[^\\pL\\pN_])metallicity($|[^\\pL\\pN_])')")
+def _(s, d):
+    c = table(s, d, "paper_chunks")
+    one = c.join(F.broadcast(c.agg(F.min("paper_id").alias("paper_id"))), "paper_id", "left_semi")
+    return bm25.search(one, "id", F.col("text"), ["metallicity"]).select("id")
 
 
 def related_papers(p, c, asked, k: int = 10):
@@ -177,35 +198,27 @@ SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_numb
 def _(s, d):
     e = table(s, d, "embeddings")
     m = vectors.mean_vector(e, "label", "embedding")
-    x = e.join(small(m.select(F.col("label").alias("query_id"), "mean")), F.col("label") != F.col("query_id")).select("query_id", "vec_id", vectors.cosine_distance(F.col("embedding"), F.col("mean")).alias("distance"))
-    return retrieval.top_per_group(x, ["query_id"], [F.col("distance"), F.col("vec_id")], 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    return vectors.nearest(e, "vec_id", "embedding", m, "label", "mean", 5, "label", "label").select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("v3_embed")
+@query("v3_embed", f"SELECT id, round(list_sum({_VEC}), 5) AS total FROM (SELECT id, sha256(coalesce(title, '')) AS h FROM papers)")
 def _(s, d):
-    return vectors.embed(table(s, d, "papers").select("id", "title"), "title").select("id", "embedding")
-
-
-@query("f15_grounding", r"""
-WITH x AS (SELECT p.chunk_id, substring(p.proof_text, 1, 120) AS e, c.text AS b FROM chunk_proofs p JOIN paper_chunks c ON c.id = p.chunk_id),
-y AS (SELECT chunk_id, trim(regexp_replace(lower(e), '\s+', ' ', 'g')) AS fe, trim(regexp_replace(lower(b), '\s+', ' ', 'g')) AS fb,
-list_distinct(regexp_extract_all(lower(e), '[\p{L}\p{N}]{3,}')) AS te, list_distinct(regexp_extract_all(lower(b), '[\p{L}\p{N}]{3,}')) AS tb FROM x)
-SELECT chunk_id, fe <> '' AND (contains(fb, fe) OR len(list_intersect(te, tb)) / len(te) >= 0.6) AS grounded FROM y""")
-def _(s, d):
-    x = table(s, d, "chunk_proofs").join(table(s, d, "paper_chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
-    return x.select("chunk_id", retrieval.grounded(F.substring("proof_text", 1, 120), F.col("text")).alias("grounded"))
+    return vectors.embed(table(s, d, "papers").select("id", "title"), "title").select("id", F.round(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x), 5).alias("total"))
 
 
 @query("f15_grounding_whole", r"""
 WITH x AS (SELECT p.chunk_id, p.proof_text AS e, c.text AS b FROM chunk_proofs p JOIN paper_chunks c ON c.id = p.chunk_id),
 y AS (SELECT chunk_id, trim(regexp_replace(lower(e), '\s+', ' ', 'g')) AS fe, trim(regexp_replace(lower(b), '\s+', ' ', 'g')) AS fb,
-list_distinct(regexp_extract_all(lower(e), '[\p{L}\p{N}]{3,}')) AS te, list_distinct(regexp_extract_all(lower(b), '[\p{L}\p{N}]{3,}')) AS tb FROM x)
+list_distinct(regexp_extract_all(lower(e), '[\p{L}\p{N}_]{2,}')) AS te, list_distinct(regexp_extract_all(lower(b), '[\p{L}\p{N}_]{2,}')) AS tb FROM x)
 SELECT chunk_id, fe <> '' AND (contains(fb, fe) OR len(list_intersect(te, tb)) / len(te) >= 0.6) AS grounded FROM y""")
 def _(s, d):
     x = table(s, d, "chunk_proofs").join(table(s, d, "paper_chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
     return x.select("chunk_id", retrieval.grounded(F.col("proof_text"), F.col("text")).alias("grounded"))
 
 
-@query("w6_bundles")
+@query("w6_bundles", """
+WITH RECURSIVE o AS (SELECT paper_id, length(text) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_ord, length(text)) AS k FROM paper_chunks),
+w AS (SELECT paper_id, k, n AS used, 0 AS b FROM o WHERE k = 1 UNION ALL SELECT o.paper_id, o.k, CASE WHEN w.used > 0 AND w.used + o.n > 8000 THEN o.n ELSE w.used + o.n END, CASE WHEN w.used > 0 AND w.used + o.n > 8000 THEN w.b + 1 ELSE w.b END FROM w JOIN o ON o.paper_id = w.paper_id AND o.k = w.k + 1)
+SELECT paper_id, max(b)::INT AS last_bundle, count(*) AS chunks FROM w GROUP BY paper_id""")
 def _(s, d):
     return retrieval.pack_bundles(table(s, d, "paper_chunks"), "paper_id", "chunk_ord", "text", 8000).groupBy("paper_id").agg(F.max("bundle").alias("last_bundle"), F.count("*").alias("chunks"))
