@@ -49,7 +49,7 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def dossier(hits: DataFrame, most: int = 48_000) -> DataFrame:
     """``no, id, block``: one block of text for each passage that fits the budget; the first always does."""
-    value = F.coalesce(F.format_number("distance", "0.0000"), F.lit("n/a"))
+    value = F.when(F.col("distance").isNull(), "n/a").otherwise(F.format_string("%.4f", "distance"))
     head = F.format_string("### Source %d (paper_id=%d, bibcode=%s, chunk_id=%d, distance=%s)\n", "no", "paper_id", F.coalesce("bibcode", F.lit("")), "id", value)
     block = F.concat(head, F.lit("Title: "), _line(F.col("title"), 120), F.lit("\nMatched query: "), F.col("matched_query"), F.lit("\n\n"), F.trim("text"), F.lit("\n"))
     rows = numbered(hits).withColumn("block", block).withColumn("one", F.lit(1))
@@ -67,7 +67,7 @@ def report(hits: DataFrame, edges: DataFrame, most: int = 56_000, refs: int = 30
     line = F.concat(F.lit("  - R"), F.col("r"), F.lit(": "), F.col("ref_bibcode"), F.when(F.col("has_local_pdf"), " [in library]").otherwise(""), F.lit(" — "), _line(F.trim("rt"), 120))
     lists = kept.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x.t), "\n").alias("listed"))
     dash = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("—"))
-    value = F.coalesce(F.format_number("distance", "0.0000"), F.lit("n/a"))
+    value = F.when(F.col("distance").isNull(), "n/a").otherwise(F.format_string("%.4f", "distance"))
     rows = numbered(hits.join(lists, "paper_id", "left")).withColumn("tag", F.concat(F.lit("S"), F.col("no")))
     block = F.concat(
         F.lit("### "), "tag", F.lit(" — retrieved excerpt\n- **paper_id**: "), "paper_id", F.lit("\n- **bibcode**: "), dash("bibcode"), F.lit("\n- **arxiv_id**: "), dash("arxiv_id"),
