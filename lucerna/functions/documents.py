@@ -32,10 +32,10 @@ def masthead_title(text: str) -> str | None:
         return None
     title: list[str] = []
     for x in lines[at + 1 :]:
-        if _STOP.match(x) or (x and is_author_line(x)):
-            break
         if _MASTHEAD.match(x):
             continue
+        if _STOP.match(x) or (x and is_author_line(x)):
+            break
         if not x:
             if title:
                 break
