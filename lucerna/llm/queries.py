@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.llm import canonical, leak, linkage, names, pack, residue, scan, split, survivor
 
+#: The tokenizer's file: the setting ``spark.lucerna.vocabulary``, a path that every executor has, else this one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 CAPACITY = 2048
 
@@ -64,7 +65,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    sizes = pack.token_lengths(_t(spark, d, "documents"), "doc_id", "text", VOCABULARY)
+    sizes = pack.token_lengths(_t(spark, d, "documents"), "doc_id", "text", spark.conf.get("spark.lucerna.vocabulary", VOCABULARY))
     return pack.fill_containers(pack.kept(sizes), CAPACITY)
 
 

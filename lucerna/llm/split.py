@@ -79,7 +79,7 @@ def pieces(text: str, limit: int = 1200, overlap: int = 200) -> list[tuple[int,
         low = start + limit // 2
         span = ends[bisect.bisect_left(ends, low) : bisect.bisect_right(ends, start + limit)]
         if not span:
-            span = ends[bisect.bisect_right(ends, start + overlap) : bisect.bisect_right(ends, start + limit)][-1:]
+            span = ends[bisect.bisect_right(ends, start + overlap) : bisect.bisect_right(ends, start + limit)]
         if span:
             sims = []
             for at in span:
