@@ -98,26 +98,28 @@ def _(s, d):
     return table(s, d, "papers").select("id", formats.is_pdf(F.encode(body, "UTF-8")).alias("ok"))
 
 
-_ADS = F.to_json(F.struct(F.struct(F.array(F.struct(
-    "bibcode", F.array("title").alias("title"), F.col("authors").alias("author"), "year", F.col("journal").alias("pub"), "volume", F.when(F.col("cand_id") % 2 == 0, F.array("page")).alias("page"), F.col("page").alias("eid"),
-    F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("arXiv:"), "arxiv_id")).alias("identifier"))).alias("docs")).alias("response")))
+def _ads():
+    """Candidates as search answers."""
+    return F.to_json(F.struct(F.struct(F.array(F.struct(
+        "bibcode", F.array("title").alias("title"), F.col("authors").alias("author"), "year", F.col("journal").alias("pub"), "volume", F.when(F.col("cand_id") % 2 == 0, F.array("page")).alias("page"), F.col("page").alias("eid"),
+        F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("arXiv:"), "arxiv_id")).alias("identifier"))).alias("docs")).alias("response")))
 
 
 @query("p28_candidates_of_docs", "SELECT cand_id, title, year, journal, volume, page, bibcode, doi, arxiv_id, len(authors)::INT AS n_authors FROM candidates")
 def _(s, d):
-    c = table(s, d, "candidates").select("cand_id", F.explode(formats.ads_docs(_ADS)).alias("doc")).select("cand_id", formats.candidate_of(F.col("doc")).alias("c"))
+    c = table(s, d, "candidates").select("cand_id", F.explode(formats.ads_docs(_ads())).alias("doc")).select("cand_id", formats.candidate_of(F.col("doc")).alias("c"))
     return c.select("cand_id", "c.title", "c.year", "c.journal", "c.volume", "c.page", "c.bibcode", "c.doi", "c.arxiv_id", F.size("c.authors").alias("n_authors"))
 
 
 @query("k4_papers_of_docs", "SELECT cand_id, arxiv_id, bibcode, title, CASE WHEN trim(year) <> '' THEN year || '-01-01' END AS published FROM candidates")
 def _(s, d):
-    c = table(s, d, "candidates").select("cand_id", F.explode(formats.ads_docs(_ADS)).alias("doc")).select("cand_id", formats.paper_of(F.col("doc")).alias("p"))
+    c = table(s, d, "candidates").select("cand_id", F.explode(formats.ads_docs(_ads())).alias("doc")).select("cand_id", formats.paper_of(F.col("doc")).alias("p"))
     return c.select("cand_id", "p.arxiv_id", "p.bibcode", "p.title", "p.published")
 
 
 @query("n2_nested_answer", "SELECT cand_id, bibcode, year FROM candidates WHERE bibcode IS NOT NULL")
 def _(s, d):
-    get = lambda f: F.get_json_object(_ADS, f"$.response.docs[0].{f}").alias(f)
+    get = lambda f: F.get_json_object(_ads(), f"$.response.docs[0].{f}").alias(f)
     return table(s, d, "candidates").where("bibcode is not null").select("cand_id", get("bibcode"), get("year"))
 
 

@@ -149,3 +149,11 @@ def test_services(spark, tmp_path):
     lib = services.Library(spark, str(tmp_path))
     assert lib.library_stats().first()["papers"] == 1 and len(services.operations()) >= 17
     assert "@article{2020ApJ...900....1S" in lib.library_bib_export("# c\n2020ApJ...900....1S\n").first()["entry"]
+
+
+def test_the_registry_needs_no_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert out.returncode == 0, out.stderr[-500:]
