@@ -22,10 +22,10 @@ def duplicate_clusters(papers: DataFrame) -> DataFrame:
     return connected_components(key_edges(rows)).toDF("id", "cluster")
 
 
-def merge_plan(papers: DataFrame, chunks: DataFrame) -> DataFrame:
+def merge_plan(papers: DataFrame, chunks: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """``cluster, keep_id``: the paper with chunks, then a pdf, then a bibcode, then the smallest id."""
     have = chunks.groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("chunks"))
-    rows = duplicate_clusters(papers).join(papers.select("id", nonblank(F.col("pdf_relpath")).alias("pdf"), nonblank(F.col("bibcode")).alias("bib")), "id").join(have, "id", "left")
+    rows = (clusters if clusters is not None else duplicate_clusters(papers)).join(papers.select("id", nonblank(F.col("pdf_relpath")).alias("pdf"), nonblank(F.col("bibcode")).alias("bib")), "id").join(have, "id", "left")
     rank = F.struct((F.coalesce("chunks", F.lit(0)) > 0).alias("c"), F.coalesce("pdf", F.lit(False)).alias("p"), F.coalesce("bib", F.lit(False)).alias("b"), (-F.col("id")).alias("i"))
     return rows.groupBy("cluster").agg(F.max_by("id", rank).alias("keep_id"))
 
@@ -35,7 +35,8 @@ FILL = ("arxiv_id", "bibcode", "title", "abstract", "published", "source", "pdf_
 
 def merged_papers(papers: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per cluster: the kept paper with its blank fields filled from the others, larger ids first."""
-    plan = duplicate_clusters(papers).join(merge_plan(papers, chunks), "cluster")
+    clusters = duplicate_clusters(papers)
+    plan = clusters.join(merge_plan(papers, chunks, clusters), "cluster")
     rows = plan.join(papers.select("id", *FILL), "id")
     order = F.struct((F.col("id") == F.col("keep_id")).alias("k"), F.col("id").alias("i"))
     return rows.groupBy("keep_id").agg(*[F.max_by(c, F.when(nonblank(F.col(c)), order)).alias(c) for c in FILL])
@@ -43,5 +44,6 @@ def merged_papers(papers: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def merged_edges(papers: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with those of merged papers moved to the kept one, each once."""
-    moved = duplicate_clusters(papers).join(merge_plan(papers, chunks), "cluster").select(F.col("id").alias("from_paper_id"), "keep_id")
+    clusters = duplicate_clusters(papers)
+    moved = clusters.join(merge_plan(papers, chunks, clusters), "cluster").select(F.col("id").alias("from_paper_id"), "keep_id")
     return edges.select("from_paper_id", "ref_bibcode").distinct().join(moved, "from_paper_id", "left").select(F.coalesce("keep_id", "from_paper_id").alias("from_paper_id"), "ref_bibcode").distinct()

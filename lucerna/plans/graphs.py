@@ -78,11 +78,16 @@ def _(s, d):
     return dedupe.merge_plan(table(s, d, "papers"), table(s, d, "paper_chunks"))
 
 
-@query("g7_merged_papers")
+_KEEP = """c AS (SELECT paper_id AS id, count(*) AS n FROM paper_chunks GROUP BY 1), k AS (SELECT cluster, arg_max(g.id, (CASE WHEN c.n > 0 THEN 4 ELSE 0 END + CASE WHEN trim(coalesce(pdf_relpath, '')) <> '' THEN 2 ELSE 0 END + CASE WHEN trim(coalesce(bibcode, '')) <> '' THEN 1 ELSE 0 END) * 1000000000::BIGINT - g.id) AS keep_id
+FROM g JOIN papers p ON p.id = g.id LEFT JOIN c ON c.id = g.id GROUP BY cluster), v2 AS (SELECT g.id, keep_id FROM g JOIN k USING (cluster))"""
+_FILLED = ", ".join(f"arg_max({f}, (p.id = keep_id)::INT * 1000000000000 + p.id) FILTER (trim({f}) <> '') AS {f}" for f in ("arxiv_id", "bibcode", "title", "abstract", "published", "source", "pdf_relpath"))
+
+
+@query("g7_merged_papers", f"WITH RECURSIVE {_V}, {_KEEP} SELECT keep_id, {_FILLED} FROM v2 JOIN papers p ON p.id = v2.id GROUP BY keep_id")
 def _(s, d):
     return dedupe.merged_papers(table(s, d, "papers"), table(s, d, "paper_chunks"))
 
 
-@query("g7_merged_edges")
+@query("g7_merged_edges", f"WITH RECURSIVE {_V}, {_KEEP} SELECT DISTINCT coalesce(keep_id, from_paper_id) AS from_paper_id, ref_bibcode FROM paper_references r LEFT JOIN v2 ON v2.id = r.from_paper_id")
 def _(s, d):
     return dedupe.merged_edges(table(s, d, "papers"), table(s, d, "paper_chunks"), table(s, d, "paper_references"))

@@ -106,7 +106,7 @@ def _first_texts(s, d):
     return retrieval.top_per_group(c, ["paper_id"], [F.col("chunk_ord"), F.col("id")]).select("paper_id", "text")
 
 
-@query("m3_line_scores", rf"""
+_M3 = rf"""
 WITH h AS (SELECT paper_id AS id, text AS t FROM paper_chunks QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY chunk_ord, id) = 1),
 l AS (SELECT r.ref_id, r.raw AS line, lower(r.raw) AS low, h.id, lower(regexp_replace(h.t, '\s+', ' ', 'g')) AS hay FROM parsed_references r JOIN h ON h.id = r.paper_id WHERE r.raw IS NOT NULL),
 c AS (SELECT DISTINCT id, a, y FROM ({_HIT})),
@@ -114,7 +114,10 @@ e AS (SELECT l.ref_id, sum(CASE WHEN NOT contains(line, y) THEN 0 WHEN regexp_ma
 y AS (SELECT ref_id, 3 * len([x FOR x IN regexp_extract_all(line, '\b((?:19|20)[0-9]{{2}})\b', 1) IF contains(hay, x)]) AS p FROM l),
 n AS (SELECT ref_id, hay, unnest(regexp_extract_all(trim(split_part(line, ',', 1)), '[A-Za-z][A-Za-z''`\-]{{2,}}')) AS w FROM l),
 g AS (SELECT ref_id, 2 * count(*) AS p FROM n WHERE lower(w) NOT IN ('the', 'and', 'for', 'von', 'van', 'der', 'los', 'las') AND regexp_matches(hay, '(^|[^a-z])' || lower(w) || '($|[^a-z])') GROUP BY 1)
-SELECT l.ref_id, (coalesce(e.p, 0) + y.p + coalesce(g.p, 0))::BIGINT AS score FROM l LEFT JOIN e USING (ref_id) JOIN y USING (ref_id) LEFT JOIN g USING (ref_id)""")
+SELECT l.ref_id, (coalesce(e.p, 0) + y.p + coalesce(g.p, 0))::BIGINT AS score FROM l LEFT JOIN e USING (ref_id) JOIN y USING (ref_id) LEFT JOIN g USING (ref_id)"""
+
+
+@query("m3_line_scores", _M3)
 def _(s, d):
     return _scored(s, d).select("ref_id", F.col("score").cast("long").alias("score"))
 
@@ -131,12 +134,13 @@ def _hits(c):
     return F.array_distinct(F.zip_with(names, years, lambda a, y: F.concat(a, F.lit("|"), y)))
 
 
-@query("l7_best_lines")
+@query("l7_best_lines", f"SELECT paper_id, ref_id, score FROM ({_M3}) JOIN parsed_references r USING (ref_id) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, ref_id) <= 8")
 def _(s, d):
     return retrieval.top_per_group(_scored(s, d).where("score > 0"), ["paper_id"], [F.desc("score"), F.col("ref_id")], 8).select("paper_id", "ref_id", F.col("score").cast("long").alias("score"))
 
 
-@query("l8_narrowed_lines")
+@query("l8_narrowed_lines", f"""WITH z AS (SELECT paper_id, ref_id, score, count(*) OVER (PARTITION BY paper_id) AS size, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, ref_id) AS k FROM ({_M3}) JOIN parsed_references r USING (ref_id)),
+o AS (SELECT paper_id, ref_id, size, row_number() OVER (PARTITION BY paper_id ORDER BY CASE WHEN size <= 3 OR (k <= 2 AND score > 0) THEN 0 ELSE 1 END, CASE WHEN size <= 3 OR (k <= 2 AND score > 0) THEN ref_id ELSE k END) AS pos FROM z) SELECT paper_id, ref_id, pos FROM o WHERE size <= 3 OR pos <= 5""")
 def _(s, d):
     return resolve.narrowed(_scored(s, d), "paper_id", "ref_id", "score", above=3, most=5, must=2).select("paper_id", "ref_id", "pos")
 
